@@ -1,8 +1,10 @@
 """The queries of this subpackage, by the names that __spark_entry__.py registers, and their SQL."""
 
-from siltstone.llm import secrets
+from siltstone.llm import chat, secrets, warc
 
 QUERIES = {
+    "op5_warc": warc.query,
+    "op6_chat": chat.query,
     "op10_secrets": secrets.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op6_chat": chat.ORACLE}
