@@ -1,8 +1,9 @@
 """The queries of this subpackage, by the names that __spark_entry__.py registers, and their SQL."""
 
-from siltstone.llm import chat, pieces, secrets, warc
+from siltstone.llm import chat, minhash, pieces, secrets, warc
 
 QUERIES = {
+    "op7_near_duplicates": minhash.query,
     "op1_pieces": pieces.query,
     "op5_warc": warc.query,
     "op6_chat": chat.query,
