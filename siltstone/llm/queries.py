@@ -1,8 +1,10 @@
 """The queries of this subpackage, by the names that __spark_entry__.py registers, and their SQL."""
 
-from siltstone.llm import chat, minhash, pieces, secrets, warc
+from siltstone.llm import chat, decontaminate, minhash, pieces, secrets, toxicity, warc
 
 QUERIES = {
+    "op3_decontaminate": decontaminate.query,
+    "op9_toxicity": toxicity.query,
     "op7_near_duplicates": minhash.query,
     "op1_pieces": pieces.query,
     "op5_warc": warc.query,
