@@ -1,8 +1,9 @@
 """The queries of this subpackage, by the names that __spark_entry__.py registers, and their SQL."""
 
-from siltstone.llm import chat, decontaminate, minhash, pieces, secrets, toxicity, warc
+from siltstone.llm import chat, decontaminate, language, minhash, pieces, secrets, toxicity, warc
 
 QUERIES = {
+    "op4_language": language.query,
     "op3_decontaminate": decontaminate.query,
     "op9_toxicity": toxicity.query,
     "op7_near_duplicates": minhash.query,
