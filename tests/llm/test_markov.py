@@ -1,0 +1,89 @@
+import itertools
+import math
+import sys
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+import brute
+
+from siltstone.llm import markov
+from siltstone.llm.tables import crc, table
+
+SF = "/root/testdata/sf0.001"
+
+
+def small(seed, kinds=6, states=3):
+    r = np.random.default_rng(seed)
+    m = [r.random(states), r.random((states, states)), r.random((kinds, states))]
+    return markov.Hmm(m[0] / m[0].sum(), m[1] / m[1].sum(axis=1, keepdims=True), m[2] / m[2].sum(axis=0))
+
+
+def test_forward_and_expected_counts_against_all_paths():
+    m = small(1)
+    sequences = [np.array(s) for s in ([1, 2, 5, 0], [3], [4, 4], [1, 2, 5, 0], [0, 1, 2, 3, 4])]
+    logs = markov.Walk(sequences).forward(m, False)[0]
+    start, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))
+    for s, log in zip(sequences, logs, strict=True):
+        paths = {}
+        for p in itertools.product(range(3), repeat=len(s)):
+            paths[p] = m.start[p[0]] * math.prod(m.move[a, b] for a, b in zip(p, p[1:])) * math.prod(m.emit[k, q] for k, q in zip(s, p))
+        total = sum(paths.values())
+        assert log == pytest.approx(math.log10(total))
+        for p, x in paths.items():
+            start[p[0]] += x / total
+            for a, b in zip(p, p[1:]):
+                moves[a, b] += x / total
+            for k, q in zip(s, p):
+                emits[k, q] += x / total
+    got = markov.Walk(sequences).expected(m)
+    assert np.allclose(got[0], start) and np.allclose(got[1], moves) and np.allclose(got[2], emits)
+
+
+@pytest.mark.parametrize("head", [markov.HEAD, 40])
+def test_base_against_counts(spark, monkeypatch, head):
+    """The same results whether words are frequent ones or joined."""
+    monkeypatch.setattr(markov, "HEAD", head)
+    monkeypatch.setattr(markov, "STATED", min(markov.STATED, head // 2))
+    docs = table(spark, SF, "documents").select("doc_id", "text", (crc("doc_id", 5) == 1).alias("held_out"))
+    rows = docs.collect()
+    counts = Counter()
+    for r in rows:
+        if not r.held_out:
+            counts.update([*brute.tokens(r.text), None])
+    n, v = sum(counts.values()), len(counts)
+    got = {r.doc_id: r for r in markov.score_all(docs, rounds=2).collect()}
+    for r in rows:
+        words, g = [*brute.tokens(r.text), None], got[r.doc_id]
+        assert (g.held_out, g.n_tokens, g.n_known, g.train_tokens) == (r.held_out, len(words), sum(counts[w] > 0 for w in words), n)
+        assert g.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in words))
+        assert g.score < 0
+    if head > 40:
+        own = [g for g in got.values() if g.held_out]
+        assert sum(g.score for g in own) > sum(g.base_score for g in own)
+
+
+def test_probabilities_add_up(spark):
+    """Over all words of the vocabulary and one unseen word of each ending."""
+    docs = table(spark, SF, "documents").select("text")
+    counts = markov.written(markov.count_words(docs))
+    v = markov.vocabulary(counts, docs.count())
+    assert sum(v.class_total) + v.count[: v.kinds - markov.ENDINGS - 1].sum() + v.ends == v.total
+    m, logs = markov.baum_welch(markov.written(markov.numbered(docs.selectExpr("1L AS doc_id", "text", "false AS held_out"), v)), v, rounds=3)
+    assert logs[0] < logs[1] < logs[2]
+    assert np.allclose(m.emit.sum(axis=0), 1) and np.allclose(m.move.sum(axis=1), 1)
+    inside = v.class_total + 0.5 * v.class_distinct + 0.5
+    assert np.allclose(np.log10(inside), v.log_class())
+
+
+def test_odd_rows(spark):
+    rows = [(1, None, False), (2, "", True), (None, "a b", False), (None, "a b", False), (3, "É é A a\x0b" * 9000, True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    got = markov.score_all(df).collect()
+    assert sorted((r.n_tokens, r.n_known) for r in got) == [(1, 1), (1, 1), (3, 3), (3, 3), (36001, 18001)]
+    none = markov.score_all(df.where("held_out")).collect()
+    assert all(abs(r.base_score) < 1e-6 and r.train_tokens == 0 for r in none) and len(none) == 2
+    assert markov.score_all(df.limit(0)).count() == 0
