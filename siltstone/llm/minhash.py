@@ -118,28 +118,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, of_100: int = 80, tables:
     same = ["n_shingles", "c1", "c2"]
     sets = written(own.groupBy(*same).agg(F.min("doc_id").alias("node"), F.first("a").alias("a"), F.first("b").alias("b")))
 
-    def live(side: str) -> DataFrame:
-        rows = sets.select("node", F.explode(side).alias(f"k{side}"))
+    def live(side: str, *more: str) -> DataFrame:
+        rows = sets.select("node", *more, F.explode(side).alias(f"k{side}"))
         return rows.join(rows.groupBy(f"k{side}").agg(F.count("*").alias("n")).where("n > 1"), f"k{side}", "left_semi")
 
-    keys = live("a").join(live("b"), "node").select("node", F.xxhash64("ka", "kb").alias("key"))
+    keys = live("a", "n_shingles").join(live("b"), "node").select("node", F.col("n_shingles").cast("int").alias("size"), F.xxhash64("ka", "kb").alias("key"))
     keys = written(keys)
     hubs = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub != last").drop("last")
     keys = written(keys.join(hubs, "key"))
     star = written(keys.where("node != hub").select("hub", "node").distinct())
     nodes = star.select("node").union(star.select("hub")).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = written(texts.join(nodes, "node", "left_semi"))
+    texts = written(texts.join(nodes.hint("merge"), "node", "left_semi"))  # as many as there are near copies: never broadcast
 
     links = written(confirm(star, texts, shingle, of_100))
     labels = components(links)
 
-    known = keys.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    known = keys.select("key", "node", "size").join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
     known = written(known)
     apart = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     known = known.join(apart, "key", "left_semi")
-    other = known.select("key", F.col("node").alias("other"), F.col("component").alias("theirs"))
-    across = known.join(other, "key").where("component < theirs").select(F.least("node", "other").alias("hub"), F.greatest("node", "other").alias("node")).distinct()
+    other = known.select("key", F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("size").alias("other_size"))
+    # the smaller set holds the intersection, the larger one is in the union
+    fits = f"component < theirs AND 100L * least(size, other_size) >= {of_100}L * greatest(size, other_size)"
+    across = known.join(other, "key").where(fits).select(F.least("node", "other").alias("hub"), F.greatest("node", "other").alias("node")).distinct()
     across = written(across.join(star, ["hub", "node"], "left_anti"))
     more = written(confirm(across, texts, shingle, of_100))
     if more.limit(1).count():
