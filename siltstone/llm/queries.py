@@ -1,8 +1,9 @@
 """The queries of this subpackage, by the names that __spark_entry__.py registers, and their SQL."""
 
-from siltstone.llm import chat, decontaminate, language, markov, minhash, pieces, secrets, toxicity, warc
+from siltstone.llm import chat, decontaminate, language, markov, minhash, pieces, sampling, secrets, toxicity, warc
 
 QUERIES = {
+    "op2_fingerprints": sampling.query,
     "op8_markov": markov.query,
     "op4_language": language.query,
     "op3_decontaminate": decontaminate.query,
