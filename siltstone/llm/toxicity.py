@@ -144,7 +144,8 @@ def probabilities(model: Model, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with toxic_score; no shuffle."""
+    """docs with toxic_score, in place of a column of that name; no shuffle."""
+    docs = docs.drop("toxic_score")
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one number for each of BUCKETS
 
@@ -169,7 +170,8 @@ def reject(docs: DataFrame, model: Model, text: str = "text", cutoff: float = CU
 
 
 def locate(docs: DataFrame, model: Model, text: str = "text", cutoff: float = 0.5) -> DataFrame:
-    """docs with offending: (start, end, score) of sentences scored cutoff or more, from first word to last, in code points."""
+    """docs with offending: (start, end, score) of sentences scored cutoff or more, from first word to last, in code points. A column of that name is replaced."""
+    docs = docs.drop("offending")
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("offending", kind)])
     shared = docs.sparkSession.sparkContext.broadcast(model)

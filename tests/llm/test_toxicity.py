@@ -24,7 +24,7 @@ def test_learns_from_documents_and_finds_sentences(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, toxic_score string")
     t = spark.createDataFrame([*labels, (None, 1, None), (5, None, None), (10**9, 1, None)], "doc_id long, toxic int, quality int")
     model = toxicity.train(d.drop("toxic_score"), t.where("doc_id < 600 OR doc_id IS NULL"))
-    got = {r.doc_id: r for r in toxicity.locate(toxicity.score(d.drop("toxic_score"), model), model).collect()}
+    got = {r.doc_id: r for r in toxicity.locate(toxicity.score(d, model), model).collect()}
     for (k, text, _), (_, toxic, _) in zip(docs[600:], labels[600:]):
         assert (got[k].toxic_score >= 0.7) == bool(toxic)
         spans = [text[s.start : s.end].lower() for s in got[k].offending]
