@@ -39,6 +39,12 @@ def multi_get(log: DataFrame, keys: DataFrame, broadcast: bool | None = None) ->
     return keys.join(newest, "key", "left").select("key", status().alias("status"), "value")
 
 
+def seek(log: DataFrame, start: bytes | str) -> DataFrame:
+    """Entries whose key is `start` or behind it, in order of key and then the newest first; no versions are resolved."""
+    own = log.where(F.col("key") >= literal(start)) if start else log
+    return own.orderBy(F.col("key").asc(), F.col("seq").desc())
+
+
 def range_scan(log: DataFrame, start: bytes | str, end: bytes | str, limit: int | None = None) -> DataFrame:
     """Live entries from start to end, both included, in order of key."""
     inside = log.where((F.col("key") >= literal(start)) & (F.col("key") <= literal(end)))

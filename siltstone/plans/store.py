@@ -186,6 +186,11 @@ class Store:
     def range_scan(self, start: bytes | str, end: bytes | str, limit: int | None = None) -> DataFrame:
         return reads.range_scan(self.log(_bytes(start), _bytes(end)), start, end, limit)
 
+    def level_scan(self, level: int, start: bytes | str = b"") -> DataFrame:
+        """Entries of one level from a key on, in order, tombstones too; level 0 may hold more than one version of a key."""
+        runs = [r for r in self.manifest.runs if r.level == level and r.last_key >= _bytes(start)]
+        return reads.seek(self._log(runs), start)
+
     def block_index(self, block_bytes: int | None = None) -> DataFrame:
         """(run_id, block_id, n_entries, first_key, last_key, crc) of all runs."""
         from siltstone.functions import codec

@@ -131,6 +131,12 @@ def level_check(spark, d):
     return merge.level_check(manifest_rows(split_runs(spark, d)).withColumn("level", F.lit(1)))
 
 
+def level_seek(spark, d):
+    """From a key on, over runs of disjoint ranges; runs that end before it aren't read."""
+    runs = split_runs(spark, d)
+    return shown(reads.seek(runs, "user-42").select("key", "value", "seq", "tombstone", "run_id"))
+
+
 def memtable_size(spark, d):
     return runs_of(spark, d).groupBy("run_id").agg(F.sum(entry_bytes()).alias("bytes"))
 
@@ -174,7 +180,11 @@ def _scratch_store(spark: SparkSession, **options) -> Store:
     import tempfile
     import uuid
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="siltstone-")
     return Store(spark, f"{base}/store-{uuid.uuid4().hex}", Options(**options))
 
 
@@ -263,7 +273,7 @@ QUERIES = {
     for f in (
         put_delete_log, kv_snapshot, kv_snapshot_orders, kv_get, kv_multi_get, kv_multi_get_bulk, kv_range_scan, kv_as_of, flush_runs,
         run_manifest, run_prune, merge_runs, two_way_merge, concat_runs, compact_full, compact_stats, level_overlap, level_check,
-        memtable_size, freeze_by_bytes, bloom_params, bloom_probe, block_index, block_roundtrip, block_large_values, store_snapshot,
+        level_seek, memtable_size, freeze_by_bytes, bloom_params, bloom_probe, block_index, block_roundtrip, block_large_values, store_snapshot,
         store_full_compaction, store_tiered_compaction, store_leveled_compaction, store_ingest, stream_snapshot, tiered_plan, bench_workload,
     )
 }
@@ -314,6 +324,7 @@ ORACLES = {
     "compact_stats": _LOG + "SELECT (SELECT count(*) FROM runs) AS rows_in, count(*) AS merged, count(*) FILTER (NOT tombstone) AS bottom FROM merged",
     "level_overlap": _LOG + "SELECT a.run_id AS a, b.run_id AS b FROM manifest a JOIN manifest b ON a.run_id < b.run_id AND a.first_key <= b.last_key AND b.first_key <= a.last_key",
     "level_check": _LOG + "SELECT 1 AS level, run_id, coalesce(last_key < lead(first_key) OVER (ORDER BY first_key), true) AS ok FROM (SELECT run_id, min(k) AS first_key, max(k) AS last_key FROM split GROUP BY run_id)",
+    "level_seek": _LOG + "SELECT k, v, seq, tombstone, run_id FROM split WHERE k >= 'user-42'",
     "memtable_size": _LOG + "SELECT run_id, sum(size)::BIGINT AS bytes FROM sized GROUP BY run_id",
     "bloom_params": _LOG + "SELECT run_id, count(*) AS n, 10::BIGINT AS bits_per_key, 7 AS probes, (ceil(greatest(64, 10 * count(*)) / 8.0) * 8)::BIGINT AS bits FROM runs GROUP BY run_id",
     "bloom_probe": _LOG + "SELECT run_id, k, true AS may_contain FROM runs",

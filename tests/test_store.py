@@ -113,6 +113,9 @@ def test_random_sequences_against_a_dict(spark, tmp_path, kind):
                 model[k] = v
         assert contents(s) == model
     low, high = sorted(r.sample(pool, 2))
+    for level in {x.level for x in s.manifest.runs}:
+        found = [(bytes(x.key), -x.seq) for x in s.level_scan(level, low).collect()]
+        assert found == sorted(found) and all(k >= low for k, _ in found)
     assert [(bytes(x.key), bytes(x.value)) for x in s.range_scan(low, high).collect()] == sorted((k, v) for k, v in model.items() if low <= k <= high)
     for level in {x.level for x in s.manifest.runs} - {0}:
         assert compaction.disjoint([x for x in s.manifest.runs if x.level == level])
