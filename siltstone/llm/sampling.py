@@ -18,29 +18,45 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.tables import table
 
-SAMPLES = 64
+SAMPLES, A_GROUP = 48, 16
 #: Documents of a bucket of neighbouring ids, and the most buckets there are, whatever the input.
 A_BUCKET, MOST_BUCKETS = 512, 1 << 16
-_ABSENT = 1e6  # stands for a weight of 0: beyond every value that a term can have
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
-def sample(term: Column, k: int, *log_weights: Column) -> list[Column]:
-    """The term's values in sample k, one for each weight."""
-    x, y = F.xxhash64(term, F.lit(2 * k)), F.xxhash64(term, F.lit(2 * k + 1))
+def value(term: Column, group: Column, j: int, log_weight: Column) -> Column:
+    """The term's value in sample j of a group."""
+    x, y = F.xxhash64(term, group, F.lit(2 * j)), F.xxhash64(term, group, F.lit(2 * j + 1))
     part = lambda h, at, bits: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
     r = -F.ln(part(x, 0, 21) * part(x, 21, 21))
     b = part(x, 42, 21)
     log_c = F.ln(-F.ln(part(y, 0, 31) * part(y, 31, 31)))
-    return [log_c - r * (F.floor(w / r + b).cast("double") - b + 1.0) for w in log_weights]
+    return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
 
 
-def log_weight(w: Column) -> Column:
-    return F.when(w > 0, F.ln(w.cast("double"))).otherwise(F.lit(-_ABSENT))
+def signatures(terms: DataFrame, *by: str) -> DataFrame:
+    """(*by, sig, edited_sig) of rows (*by, term, own, edited): a term and its weights in a text and in its edited form.
 
-
-def signature(least: list[Column]) -> Column:
-    return F.array(*(F.when(x > _ABSENT / 100, F.lit(0)).otherwise(F.hash(x)) for x in least))
+    A term of equal weights counts for both texts at once. Samples come in groups of A_GROUP, rows of their
+    own, so that the generated code of one aggregation stays small enough to be compiled. Nothing is shuffled
+    if the rows lie together by `by` or some of it.
+    """
+    both = F.col("own") == F.col("edited")
+    weigh = lambda of, w: F.struct(F.lit(of).alias("of"), w.alias("w"))
+    uses = F.array(
+        F.when(both, weigh(3, F.col("own"))),
+        F.when(~both & (F.col("own") > 0), weigh(1, F.col("own"))),
+        F.when(~both & (F.col("edited") > 0), weigh(2, F.col("edited"))),
+    )
+    rows = terms.select(*by, "term", F.explode(uses).alias("use")).where("use IS NOT NULL").select(*by, "term", "use.of", F.ln(F.col("use.w").cast("double")).alias("w"))
+    rows = rows.select(*by, "term", "of", "w", F.explode(F.array(*(F.lit(g) for g in range(SAMPLES // A_GROUP)))).alias("group"))
+    least = [F.min(value(F.col("term"), F.col("group"), j, F.col("w"))).alias(f"a{j}") for j in range(A_GROUP)]
+    drawn = rows.groupBy(*by, "group", "of").agg(*least)
+    of = lambda without: [F.min(F.when(F.col("of") != without, F.col(f"a{j}"))).alias(f"{without}_{j}") for j in range(A_GROUP)]
+    drawn = drawn.groupBy(*by, "group").agg(*of(2), *of(1))
+    part = lambda without: F.array(*(F.when(F.col(f"{without}_{j}").isNull(), F.lit(0)).otherwise(F.hash(f"{without}_{j}")) for j in range(A_GROUP)))
+    parts = drawn.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("group", part(2).alias("sig"), part(1).alias("edited_sig")))).alias("parts"))
+    return parts.select(*by, *(F.flatten(F.col(f"parts.{c}")).alias(c) for c in ("sig", "edited_sig")))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -94,11 +110,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     )
     words = split.select("bucket", "row", F.explode(parts).alias("part")).select("bucket", "row", F.col("part.of").alias("of"), F.explode(F.split("part.text", _BLANK)).alias("word"))
     terms = words.where("word != ''").select("bucket", "row", "of", F.xxhash64("word").alias("term"))
-    weight = lambda bit: F.sum(F.col("of").bitwiseAND(F.lit(bit)) / F.lit(bit))
-    terms = terms.groupBy("bucket", "row", "term").agg(log_weight(weight(1)).alias("own"), log_weight(weight(2)).alias("edited"))
-    values = [sample(F.col("term"), k, F.col("own"), F.col("edited")) for k in range(SAMPLES)]
-    drawn = terms.groupBy("bucket", "row").agg(*(F.min(v[0]).alias(f"a{k}") for k, v in enumerate(values)), *(F.min(v[1]).alias(f"b{k}") for k, v in enumerate(values)))
-    drawn = drawn.select("bucket", "row", *(signature([F.col(f"{c}{k}") for k in range(SAMPLES)]).alias(name) for c, name in (("a", "sig"), ("b", "edited_sig"))))
+    terms = terms.groupBy("bucket", "row", "term").agg(F.sum(F.col("of").bitwiseAND(F.lit(1))).alias("own"), F.sum(F.shiftright("of", 1)).alias("edited"))
+    drawn = signatures(terms, "bucket", "row")
 
     facts = rows.select("bucket", "row", "ghost", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.concat("head", "put"), 256).alias("edited_sha256"))
     nothing = F.array_repeat(F.lit(0), SAMPLES)
