@@ -17,6 +17,8 @@ class Machine(NamedTuple):
     n_classes: int
     next: np.ndarray
     accepts: list[frozenset[int]]
+    #: States from which no match is reached any more.
+    dead: frozenset[int]
 
 
 class _Nfa:
@@ -199,7 +201,9 @@ def compile_rules(patterns: list[str], search: bool, absorb: bool = False) -> Ma
     group = order[group]
     one = np.zeros(len(order), int)
     one[group] = np.arange(len(group))
-    return Machine(classes.astype(np.uint8), n_classes, group[table[one]].astype(np.int32).reshape(-1), [accepts[x] for x in one])
+    small, ends = group[table[one]].astype(np.int32), [accepts[x] for x in one]
+    dead = frozenset(q for q in range(len(small)) if not ends[q] and (small[q] == q).all())
+    return Machine(classes.astype(np.uint8), n_classes, small.reshape(-1), ends, dead)
 
 
 def resetting(m: Machine, absorbing: set[int]) -> np.ndarray:
@@ -218,16 +222,6 @@ def longest(m: Machine, data: bytes, at: int) -> int:
         q = nxt[q * n + classes[data[k]]]
         if m.accepts[q]:
             end = k + 1
-        elif q in _dead(m):
+        elif q in m.dead:
             break
     return end
-
-
-_dead_states: dict[int, set[int]] = {}
-
-
-def _dead(m: Machine) -> set[int]:
-    if id(m) not in _dead_states:
-        table = m.next.reshape(-1, m.n_classes)
-        _dead_states[id(m)] = {q for q in range(len(table)) if not m.accepts[q] and (table[q] == q).all()}
-    return _dead_states[id(m)]

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.automaton import Machine, compile_rules, resetting
+from siltstone.llm.automaton import Machine, compile_rules, longest, resetting
 from siltstone.llm.text import chunks
 
 
@@ -67,8 +67,7 @@ class Scanner:
 
     @staticmethod
     def _begins(m: Machine) -> frozenset[int]:
-        dead = _dead(m)
-        return frozenset(b for b in range(256) if int(m.next[m.classes[b]]) not in dead)
+        return frozenset(b for b in range(256) if int(m.next[m.classes[b]]) not in m.dead)
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and end of the pieces in which some rule matches."""
@@ -134,17 +133,6 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return _scanners[rules]
 
 
-def _dead(m: Machine) -> set[int]:
-    table = m.next.reshape(-1, m.n_classes)
-    return {q for q in range(len(table)) if not m.accepts[q] and (table[q] == q).all()}
-
-
-def longest(m: Machine, data: bytes, at: int) -> int:
-    from siltstone.llm import automaton
-
-    return automaton.longest(m, data, at)
-
-
 def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, name: str = "spans") -> DataFrame:
     """docs with a column `name`: array of (kind, start, end), code points, end exclusive, by start and then rule.
 
