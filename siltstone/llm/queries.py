@@ -14,4 +14,4 @@ QUERIES = {
     "op6_chat": chat.query,
     "op10_secrets": secrets.query,
 }
-ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op6_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op5_warc": warc.ORACLE, "op6_chat": chat.ORACLE, "op7_near_duplicates": minhash.ORACLE, "op10_secrets": secrets.ORACLE}

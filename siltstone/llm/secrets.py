@@ -196,3 +196,31 @@ def query(spark, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "doc_id", *(count(k) for k in BASE_KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
+
+
+def _oracle() -> str:
+    """Matches from one regex function, what lies between them from another: together they give the places."""
+    size = "lambda x: length(x)"
+    parts = []
+    for k, r in enumerate(RULES):
+        head = r.head.replace("(?i:password|passwd|secret|token|api_?key)", "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])")
+        regex = f"{head}({r.body})".replace("'", "''")
+        parts.append(f"""
+  SELECT doc_id, {k} AS nr, '{r.kind}' AS kind, unnest(list_transform(range(1, len(m) + 1), lambda i: {{
+    'a': coalesce(list_sum(list_transform(p[1:i], {size})), 0) + coalesce(list_sum(list_transform(m[1:i - 1], {size})), 0), 'n': length(m[i]), 'body': length(g[i])}})) AS x,
+    {r.body_least} AS body_least, {r.least} AS least
+  FROM (SELECT doc_id, regexp_extract_all(t, '{regex}') AS m, regexp_extract_all(t, '{regex}', 1) AS g, string_split_regex(t, '{regex}') AS p FROM d)""")
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), found AS ({" UNION ALL ".join(parts)}
+), spans AS (
+  SELECT doc_id, nr, kind, x.a::BIGINT AS a, kind || ':' || x.a::BIGINT || ':' || (x.a + x.n)::BIGINT AS span FROM found WHERE x.body >= body_least AND x.n >= least
+), by_doc AS (
+  SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)},
+    string_agg(span, ',' ORDER BY a, nr) FILTER (nr < {len(BASE_KINDS)}) AS base, string_agg(span, ',' ORDER BY a, nr) AS spans FROM spans GROUP BY doc_id
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN by_doc USING (doc_id)
+"""
+
+
+ORACLE = _oracle()
