@@ -13,24 +13,28 @@ Documents come in descending order of id, then of text; null ids are last; repea
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm.tables import table
 
-SAMPLES, A_GROUP = 48, 16
+SAMPLES, A_GROUP = 64, 16
 #: Documents of a bucket of neighbouring ids, and the most buckets there are, whatever the input.
 A_BUCKET, MOST_BUCKETS = 512, 1 << 16
+_LN2 = math.log(2)
 _BLANK = r"[\x20\x09-\x0D]+"
 
 
 def value(term: Column, group: Column, j: int, log_weight: Column) -> Column:
     """The term's value in sample j of a group."""
     x, y = F.xxhash64(term, group, F.lit(2 * j)), F.xxhash64(term, group, F.lit(2 * j + 1))
-    part = lambda h, at, bits: (F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5) / float(1 << bits)
-    r = -F.ln(part(x, 0, 21) * part(x, 21, 21))
-    b = part(x, 42, 21)
-    log_c = F.ln(-F.ln(part(y, 0, 31) * part(y, 31, 31)))
+    # uniform in (0, 1): (part + 0.5) / 2**bits, with the powers of two taken out of products and logarithms
+    part = lambda h, at, bits: F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << bits) - 1)).cast("double") + 0.5
+    r = 42 * _LN2 - F.ln(part(x, 0, 21) * part(x, 21, 21))
+    b = part(x, 42, 21) * 2.0**-21
+    log_c = F.ln(62 * _LN2 - F.ln(part(y, 0, 31) * part(y, 31, 31)))
     return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
 
 
