@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from siltstone.llm.text import raw
+from siltstone.llm.text import raw, release
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: A task forgets its units beyond so many.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: And what it knows of pairs of pieces beyond so many.
-PAIRS = 1_000_000
+PAIRS = 300_000
 _UNKNOWN_COST = 10.0
 INFINITE = float("inf")
 
@@ -292,6 +292,7 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, ids: str = "
     schema = T.StructType([*keep.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = Model(data.value)
         for whole in batches:
             k = whole.schema.get_field_index(text)
@@ -302,6 +303,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, ids: str = "
                     at[r + 1] = at[r] + len(out[-1])
                 col = pa.ListArray.from_arrays(at, np.concatenate(out))
                 yield pa.RecordBatch.from_arrays([*batch.columns, col], [*batch.schema.names, ids])
+            whole = batch = out = col = None
+            release()
 
     return keep.mapInArrow(run, schema)
 
@@ -326,7 +329,7 @@ def _load(path: str) -> bytes:
         return f.read()
 
 
-def _bounded(batch: pa.RecordBatch, k: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _bounded(batch: pa.RecordBatch, k: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     _, at = raw(batch.column(k))
     lo = 0
     while lo < batch.num_rows:
@@ -343,6 +346,7 @@ def query(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
     schema = "doc_id long, n_pieces long, ids array<int>, decoded_sha256 string, round_trip boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         m = Model(data.value)
         for whole in batches:
             for batch in _bounded(whole, 1):
@@ -356,5 +360,6 @@ def query(spark: SparkSession, sf_dir: str, model: str = MODEL) -> DataFrame:
                     digests.append(hashlib.sha256(back.encode()).hexdigest())
                 col = pa.ListArray.from_arrays(at, np.concatenate(out))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at).astype(np.int64)), col, pa.array(digests), pa.array(same)], ["doc_id", "n_pieces", "ids", "decoded_sha256", "round_trip"])
+            release()
 
     return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(run, schema)

@@ -6,6 +6,8 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -93,6 +95,16 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
+def release() -> None:
+    """Gives memory that was freed back to the system: workers live on from stage to stage, beside a full heap."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # no glibc
+        pass
+
+
 def words(column: pa.Array, blank: np.ndarray = BLANK) -> Iterator[Words]:
     """Words in lower case (A-Z only) of all rows."""
     for lo, hi, data, offsets in chunks(column):
