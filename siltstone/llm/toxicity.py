@@ -1,7 +1,9 @@
 """Toxicity by multiple-instance learning: sentences are scored, documents are labelled.
 
 A sentence's score is logistic in its words; a document is toxic if any of its sentences is (noisy-or):
-1 - prod(1 - p). Weights are fitted to document labels alone, and then tell which sentences offend.
+1 - prod(1 - p). Weights are fitted to document labels alone, and then tell which sentences offend. A sentence
+counts by how far its -log(1 - p) is above that of a sentence without features, which a text has once however
+long it is: sentences that tell nothing, or only good, add nothing.
 
 The classifier is fitted on at most `SAMPLE` labelled rows, those with the least hash of their id; only
 words whose presence goes with the label by `LEAST_Z` standard deviations are features. Everything else
@@ -60,6 +62,11 @@ def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
+def above(score: np.ndarray, bias: float) -> np.ndarray:
+    """What sentences add to their text's -log(1 - P) beyond a sentence without features."""
+    return np.maximum(softplus(score) - softplus(bias), 0)
+
+
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of each run of values; first has an end."""
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[first])
@@ -81,7 +88,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, penalt
     number = np.full(BUCKETS, -1)
     number[chosen] = np.arange(len(chosen))
 
-    feature, sentence, doc, plain = [], [], [], np.zeros(len(rows))
+    feature, sentence, doc = [], [], []
     told = 0
     for k, (_, bucket, size) in enumerate(rows):
         f = number[bucket]
@@ -90,7 +97,6 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, penalt
         feature.append(f[f >= 0])
         sentence.append(at + told)
         doc.append(np.full(len(used), k))
-        plain[k] = max(len(size), 1) - len(used)
         told += len(used)
     feature, sentence, doc = map(np.concatenate, (feature, sentence, doc))
 
@@ -100,10 +106,12 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, penalt
     for step in range(1, steps + 1):
         w, bias = theta[:-1], theta[-1]
         s = bias + np.bincount(sentence, w[feature], told)
-        quiet = np.bincount(doc, softplus(s), len(y)) + plain * softplus(bias)  # -log(1 - P)
+        told_more = s >= bias
+        quiet = softplus(bias) + np.bincount(doc, above(s, bias), len(y))  # -log(1 - P)
         odds = np.where(y == 1, np.exp(-quiet) / np.maximum(-np.expm1(-quiet), 1e-12), -1.0)
-        slope = odds[doc] / (1 + np.exp(-s))
-        g = np.append(np.bincount(feature, slope[sentence], len(chosen)), slope.sum() + (odds * plain).sum() / (1 + np.exp(-bias))) / len(y)
+        slope = odds[doc] * told_more / (1 + np.exp(-s))
+        null = (odds.sum() - odds[doc][told_more].sum()) / (1 + np.exp(-bias))
+        g = np.append(np.bincount(feature, slope[sentence], len(chosen)), slope.sum() + null) / len(y)
         g[:-1] -= penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
@@ -138,9 +146,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def probabilities(model: Model, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
     """Of each row, and of each sentence."""
     score = model.bias + sums(model.weights[s.bucket].astype(float), s.first)
-    quiet = sums(softplus(score), s.of_row)
-    quiet[np.diff(s.of_row) == 0] = softplus(np.array(model.bias))
-    return -np.expm1(-np.maximum(quiet, 0)), 1 / (1 + np.exp(-score))
+    quiet = softplus(np.array(model.bias)) + sums(above(score, model.bias), s.of_row)
+    return -np.expm1(-quiet), 1 / (1 + np.exp(-score))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -52,3 +52,14 @@ def test_held_out(spark):
     own = [(r.predicted, labels[r.doc_id]) for r in got if r.held_out and r.doc_id in labels]
     assert sum(p == t for p, t in own) / len(own) > 0.9
     assert not any(p and not t for p, t in own)
+
+
+def test_length_alone_is_not_toxic(spark):
+    docs, labels = made(900, 1)
+    d = spark.createDataFrame([k[:2] for k in docs], "doc_id long, text string")
+    model = toxicity.train(d, spark.createDataFrame([k[:2] for k in labels], "doc_id long, toxic int"))
+    clean = "".join(f"w{k % 300} w{k * 7 % 300}.\n" for k in range(50_000))
+    long = spark.createDataFrame([(1, clean), (2, "plain.\n" * 50_000), (3, clean + "a vile w1."), (4, "a vile w1.")], "doc_id long, text string")
+    got = {r.doc_id: r.toxic_score for r in toxicity.score(long, model).collect()}
+    assert max(got[1], got[2]) < 0.2 and min(got[3], got[4]) >= 0.7
+    assert {r.doc_id for r in toxicity.reject(long, model).collect()} == {1, 2}
