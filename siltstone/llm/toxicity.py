@@ -5,9 +5,10 @@ A sentence's score is logistic in its words; a document is toxic if any of its s
 counts by how far its -log(1 - p) is above that of a sentence without features, which a text has once however
 long it is: sentences that tell nothing, or only good, add nothing.
 
-The classifier is fitted on at most `SAMPLE` labelled rows, those with the least hash of their id; only
-words whose presence goes with the label by `LEAST_Z` standard deviations are features. Everything else
-covers all documents. A text without words is one sentence without words. Null labels and ids teach
+Features are words and the first `PREFIXES` bytes of longer ones, so rare and unseen forms of a marked stem
+count too. The classifier is fitted on at most `SAMPLE` labelled rows, those with the least hash of their id;
+features are those whose presence goes with the label by `LEAST_Z` standard deviations. They are counted where
+the texts are; only counts and the chosen ones of each text come to the driver. Everything else covers all documents. A text without words is one sentence without words. Null labels and ids teach
 nothing; with no labels, or of one kind only, all scores are equal.
 """
 
@@ -23,11 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.tables import crc, table
-from siltstone.llm.text import PUNCTUATION, U, Words, words
+from siltstone.llm.text import PUNCTUATION, U, Words, mix, powers, words
 
 SAMPLE = 20_000
-BUCKETS = 1 << 18
-LEAST_Z, LEAST_DOCS = 5.5, 4
+BUCKETS = 1 << 22
+PREFIXES = (4, 5, 6, 7, 8)
+LEAST_Z, LEAST_DOCS = 4.5, 3
 CUTOFF = 0.7
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".!?\n"]] = True
@@ -39,10 +41,9 @@ class Model(NamedTuple):
 
 
 class Sentences(NamedTuple):
-    """Of one chunk: each word's bucket, each sentence's first word, each row's first sentence (both with an end)."""
+    """Of one chunk: each sentence's first word, each row's first sentence (both with an end)."""
 
     w: Words
-    bucket: np.ndarray
     first: np.ndarray
     of_row: np.ndarray
 
@@ -55,7 +56,41 @@ def sentences(column: pa.Array) -> Iterator[Sentences]:
         new[1:] = ends[1:] != ends[:-1]
         new[w.first[:-1][w.first[:-1] < n]] = True
         first = np.append(np.flatnonzero(new), n)
-        yield Sentences(w, (w.hash & U(BUCKETS - 1)).astype(np.int32), first, np.searchsorted(first, w.first))
+        yield Sentences(w, first, np.searchsorted(first, w.first))
+
+
+def features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Words, ascending, and their buckets: of all whole words, then of the prefixes of each length."""
+    yield np.arange(len(w.start)), (w.hash & U(BUCKETS - 1)).astype(np.int32)
+    up, down = powers(len(w.data) + 1)
+    total = np.zeros(len(w.data) + 1, U)
+    np.cumsum((w.data.astype(U) + U(1)) * up[: len(w.data)], out=total[1:])
+    for n in PREFIXES:
+        longer = np.flatnonzero(w.end - w.start > n)
+        at = w.start[longer]
+        yield longer, (mix(((total[at + n] - total[at]) * down[at]) ^ U(n)) & U(BUCKETS - 1)).astype(np.int32)
+
+
+def by_row(s: Sentences, keep: np.ndarray | None = None) -> Iterator:
+    """Each row's buckets; with keep, those it holds in order of sentences, and the sentence of each."""
+    word, bucket = [], []
+    for k, b in features(s.w):
+        if keep is not None:
+            k, b = k[keep[b]], b[keep[b]]
+        word.append(k)
+        bucket.append(b)
+    word, bucket = np.concatenate(word), np.concatenate(bucket)
+    order = np.argsort(word, kind="stable")
+    word, bucket = word[order], bucket[order]
+    ends = np.searchsorted(word, s.w.first)
+    at = np.searchsorted(s.first, word, "right")
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        yield bucket[a:b] if keep is None else (bucket[a:b], at[a:b])
+
+
+def lean(n: np.ndarray, toxic: np.ndarray, p: float) -> np.ndarray:
+    """By how many standard deviations features of n rows go with the label, whose share is p."""
+    return (toxic - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
 
 
 def softplus(x: np.ndarray) -> np.ndarray:
@@ -73,7 +108,7 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, penalty: float = 2e-5) -> Model:
-    """rows: label, buckets of the words, words of each sentence."""
+    """rows: label, buckets of the features, features of each sentence."""
     weights = np.zeros(BUCKETS, np.float32)
     y = np.array([r[0] for r in rows], float)
     if len(set(y.tolist())) < 2:
@@ -82,9 +117,8 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, penalt
     have = [np.zeros(BUCKETS, np.int64) for _ in range(2)]
     for label, bucket, _ in rows:
         have[label][np.unique(bucket)] += 1
-    n, p = have[0] + have[1], y.mean()
-    z = (have[1] - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
-    chosen = np.flatnonzero((np.abs(z) >= LEAST_Z) & (n >= LEAST_DOCS))
+    n = have[0] + have[1]
+    chosen = np.flatnonzero((np.abs(lean(n, have[1], y.mean())) >= LEAST_Z) & (n >= LEAST_DOCS))
     number = np.full(BUCKETS, -1)
     number[chosen] = np.arange(len(chosen))
 
@@ -124,28 +158,53 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # at most `sample` rows of two numbers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id").select("toxic", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        have, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
         for batch in batches:
+            label = batch.column(0).to_numpy()
+            n += np.bincount(label, minlength=2)
             for s in sentences(batch.column(1)):
-                size = np.diff(s.first).astype(np.int32)
-                rows = range(len(s.of_row) - 1)
+                for k, found in enumerate(by_row(s)):
+                    have[label[s.w.lo + k]][np.unique(found)] += 1
+        some = np.flatnonzero(have.any(axis=0))
+        columns = (np.append(x, y).astype(np.int64) for x, y in ((some, -1), (have[0][some], n[0]), (have[1][some], n[1])))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "clean", "toxic"])
+
+    counts = texts.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    bucket, clean, toxic = (c.to_numpy() for c in counts.where(F.expr(f"bucket < 0 OR clean + toxic >= {LEAST_DOCS}")).toArrow().columns)
+    rows = [int(x[bucket < 0].sum()) for x in (clean, toxic)]
+    marked = np.zeros(BUCKETS, bool)
+    if min(rows):
+        marked[bucket[(bucket >= 0) & (np.abs(lean(clean + toxic, toxic, rows[1] / sum(rows))) >= LEAST_Z)]] = True
+    shared = docs.sparkSession.sparkContext.broadcast(np.flatnonzero(marked).astype(np.int32))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.zeros(BUCKETS, bool)
+        keep[shared.value] = True
+        for batch in batches:
+            for s in sentences(batch.column(1)):
+                found = list(by_row(s, keep))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(s.w.lo, len(rows)),
-                        pa.array([s.bucket[s.w.first[k] : s.w.first[k + 1]].tobytes() for k in rows], pa.binary()),
-                        pa.array([size[s.of_row[k] : s.of_row[k + 1]].tobytes() for k in rows], pa.binary()),
+                        batch.column(0).slice(s.w.lo, len(found)),
+                        pa.array([b.tobytes() for b, _ in found], pa.binary()),
+                        pa.array([np.unique(at, return_counts=True)[1].astype(np.int32).tobytes() for _, at in found], pa.binary()),
                     ],
                     ["toxic", "bucket", "size"],
                 )
 
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id").select("toxic", "text")
-    got = texts.mapInArrow(run, "toxic int, bucket binary, size binary").toArrow().to_pydict()
+    got = texts.mapInArrow(pick, "toxic int, bucket binary, size binary").toArrow().to_pydict()
     return fit([(t, np.frombuffer(b, np.int32), np.frombuffer(s, np.int32)) for t, b, s in zip(*got.values(), strict=True)])
 
 
 def probabilities(model: Model, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
     """Of each row, and of each sentence."""
-    score = model.bias + sums(model.weights[s.bucket].astype(float), s.first)
+    told = np.zeros(len(s.w.start))
+    for k, bucket in features(s.w):
+        told[k] += model.weights[bucket]
+    score = model.bias + sums(told, s.first)
     quiet = softplus(np.array(model.bias)) + sums(above(score, model.bias), s.of_row)
     return -np.expm1(-quiet), 1 / (1 + np.exp(-score))
 

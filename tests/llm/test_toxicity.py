@@ -63,3 +63,27 @@ def test_length_alone_is_not_toxic(spark):
     got = {r.doc_id: r.toxic_score for r in toxicity.score(long, model).collect()}
     assert max(got[1], got[2]) < 0.2 and min(got[3], got[4]) >= 0.7
     assert {r.doc_id for r in toxicity.reject(long, model).collect()} == {1, 2}
+
+
+def test_forms_never_seen(spark):
+    docs, labels = made(400, 3)
+    docs = [(k, text.lower().replace("vile", f"grumoste{k}").replace("rotten", f"grumoste{k}x").replace("foul", f"grumoste{k}y")) for k, text, _ in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([k[:2] for k in labels], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic_score for r in toxicity.score(d, toxicity.train(d, t.where("doc_id < 300"))).collect()}
+    assert all((got[k] >= 0.7) == bool(toxic) for k, toxic, _ in labels[300:])
+
+
+def test_held_out_by_language(spark):
+    sf = "/root/testdata/sf0.1"
+    got = {r.doc_id: r.predicted for r in toxicity.query(spark, sf).where("held_out").collect()}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang").collect()}
+    caught, flagged = {}, []
+    for r in spark.read.parquet(f"{sf}/labels.parquet").where("toxic IN (0, 1)").collect():
+        if r.doc_id in got:
+            (caught.setdefault(lang[r.doc_id], []) if r.toxic else flagged).append(got[r.doc_id])
+    shares = {k: (sum(v), len(v)) for k, v in caught.items()}
+    print(shares, sum(flagged), len(flagged))
+    least = {"en": 0.85, "fr": 0.75, "de": 0.7, "es": 0.7}
+    assert all(shares[k][0] >= x * shares[k][1] for k, x in least.items()), shares
+    assert sum(flagged) <= 0.01 * len(flagged)
