@@ -29,7 +29,7 @@ def unescape(c: Column) -> Column:
 
 
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, loss_spans): the spans (start, end) hold the code points of each text of loss_role, escaped."""
+    """(conv_id, formatted, loss_spans): a span for each text of loss_role, escaped: (start, end) in code points, (first, last) in bytes."""
     order = [F.col(c).asc_nulls_first() for c in ("turn", "role", "text")]
     by = Window.partitionBy("conv_id").orderBy(*order)
     role, text = F.coalesce(F.col("role").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -47,16 +47,26 @@ def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> Data
     ).otherwise(SEP)
     t = t.select("conv_id", "at", "role", lead.alias("lead"), escape(F.col("text")).alias("body"))
     so_far = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("stop", F.sum((F.length("lead") + F.length("body")).cast("long")).over(so_far))
-    row = F.struct("at", "lead", "body", (F.col("role") == loss_role).alias("loss"), "stop", F.length("body").alias("size"))
+    size = lambda of: F.sum((of("lead") + of("body")).cast("long")).over(so_far)
+    t = t.withColumns({"stop": size(F.length), "last": size(F.octet_length)})
+    row = F.struct("at", "lead", "body", (F.col("role") == loss_role).alias("loss"), "stop", "last", F.length("body").alias("size"), F.octet_length("body").alias("bytes"))
     t = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
     pieces = F.transform("turns", lambda x: F.concat(x["lead"], x["body"]))
-    spans = F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: F.struct((x["stop"] - x["size"]).alias("start"), x["stop"].alias("end")))
+    span = lambda x: F.struct((x["stop"] - x["size"]).alias("start"), x["stop"].alias("end"), (x["last"] - x["bytes"]).alias("first"), x["last"].alias("last"))
+    spans = F.transform(F.filter("turns", lambda x: x["loss"]), span)
     return t.select("conv_id", F.concat(F.array_join(pieces, ""), F.lit(END)).alias("formatted"), spans.alias("loss_spans"))
 
 
+def masked(formatted: DataFrame) -> DataFrame:
+    """formatted with loss_texts: what its loss_spans cover, unescaped. Cut by bytes, so a span costs only its own size."""
+    whole = F.col("formatted").cast("binary")
+    cut = lambda x: F.substr(F.col("_whole"), (x["first"] + 1).cast("int"), (x["last"] - x["first"]).cast("int"))
+    texts = F.transform("loss_spans", lambda x: unescape(F.decode(cut(x), "UTF-8")))
+    return formatted.withColumn("_whole", whole).withColumn("loss_texts", texts).drop("_whole")
+
+
 def parse(formatted: DataFrame) -> DataFrame:
-    """(conv_id, formatted, turns): the (role, text) of every turn, as they were before."""
+    """formatted (conv_id, formatted, ...) with turns: the (role, text) of every turn, as they were before."""
     blocks = F.filter(F.split("formatted", r"<\|im_end\|>\n", -1), lambda b: b != "")
     role = lambda b: F.substring_index(b, "\n", 1)
     clear = lambda r: unescape(F.replace(r, F.lit(NEWLINE), F.lit("\n")))
@@ -68,7 +78,7 @@ def parse(formatted: DataFrame) -> DataFrame:
         ),
     )
     turns = F.flatten(F.transform("cut", lambda b: F.transform(b["texts"], lambda x: F.struct(b["role"].alias("role"), unescape(x).alias("text")))))
-    return formatted.select("conv_id", "formatted", cut.alias("cut")).select("conv_id", "formatted", turns.alias("turns"))
+    return formatted.withColumn("cut", cut).withColumn("turns", turns).drop("cut")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +90,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text")
     )
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    back = parse(format_conversations(turns))
+    back = masked(parse(format_conversations(turns)))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    loss = F.array_join("loss_texts", "")
     return back.select("conv_id", "formatted", "turns", said.alias("said"), loss.alias("loss")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
