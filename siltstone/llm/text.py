@@ -1,7 +1,7 @@
 """Byte-level words and shingles of whole Arrow text columns, without a Python loop over words.
 
-A word's 64-bit hash is a polynomial over its bytes, taken from prefix sums modulo 2**64 and mixed.
-Null texts count as empty.
+A word's 64-bit hash mixes its bytes in blocks of eight, each over what came before; words longer than MIXED
+bytes have their xxHash. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -13,11 +13,15 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
 CHUNK = 1 << 19
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of a word up to which blocks of eight are mixed.
+MIXED = 64
+_ODD = U(0x9E3779B97F4A7C15)
+#: Keeps the first n of eight bytes.
+FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -30,7 +34,7 @@ PUNCTUATION[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]]
 
 
 class Words(NamedTuple):
-    """Words of rows lo..hi of a column: byte ranges in data, hashes, and each row's first word (with an end)."""
+    """Words of rows lo..hi of a column: byte ranges in data, each row's first word (with an end), hashes, eights of data."""
 
     lo: int
     hi: int
@@ -40,6 +44,7 @@ class Words(NamedTuple):
     end: np.ndarray
     first: np.ndarray
     hash: np.ndarray
+    eight: np.ndarray
 
     def text(self, k: int) -> bytes:
         return self.data[self.start[k] : self.end[k]].tobytes()
@@ -58,17 +63,26 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("up", ())) < n:
-        size = max(n, CHUNK + (CHUNK >> 1))
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            p = np.full(size, base, U)
-            p[0] = 1
-            _powers[name] = np.cumprod(p)
-    return _powers["up"], _powers["down"]
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on, as one number; zeros behind the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashes(data: np.ndarray, eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of the byte ranges start..end of data, whose eights are given."""
+    size = end - start
+    h = mix((eight[start] & FIRST[np.minimum(size, 8)]) ^ (size.astype(U) * _ODD))
+    longer, k = np.flatnonzero(size > 8), 8
+    while len(longer) and k < MIXED:
+        block = eight[start[longer] + k] & FIRST[np.minimum(size[longer] - k, 8)]
+        h[longer] = mix((h[longer] * _ODD) ^ block)
+        k += 8
+        longer = longer[size[longer] > k]
+    for w in longer.tolist():
+        h[w] = xxhash.xxh3_64_intdigest(data[start[w] : end[w]].data)
+    return h
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +132,8 @@ def words(column: pa.Array, blank: np.ndarray = BLANK) -> Iterator[Words]:
         both = inner[solid[inner] & solid[inner + 1]]  # a text ends in a word and the next begins with one
         opens[both] = closes[both] = True
         start, end = np.flatnonzero(opens), np.flatnonzero(closes)
-        up, down = powers(len(data) + 1)
-        total = np.zeros(len(data) + 1, U)
-        np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
-        h = mix((total[end] - total[start]) * down[start])
-        yield Words(lo, hi, data, offsets, start, end, np.searchsorted(start, offsets), h)
+        eight = eights(data)
+        yield Words(lo, hi, data, offsets, start, end, np.searchsorted(start, offsets), hashes(data, eight, start, end), eight)
 
 
 _STEP = U(0xD6E8FEB86659FD93)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.tables import crc, table
-from siltstone.llm.text import PUNCTUATION, U, Words, mix, powers, words
+from siltstone.llm.text import FIRST, PUNCTUATION, U, Words, mix, words
 
 SAMPLE = 20_000
 BUCKETS = 1 << 22
@@ -62,13 +62,9 @@ def sentences(column: pa.Array) -> Iterator[Sentences]:
 def features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Words, ascending, and their buckets: of all whole words, then of the prefixes of each length."""
     yield np.arange(len(w.start)), (w.hash & U(BUCKETS - 1)).astype(np.int32)
-    up, down = powers(len(w.data) + 1)
-    total = np.zeros(len(w.data) + 1, U)
-    np.cumsum((w.data.astype(U) + U(1)) * up[: len(w.data)], out=total[1:])
     for n in PREFIXES:
         longer = np.flatnonzero(w.end - w.start > n)
-        at = w.start[longer]
-        yield longer, (mix(((total[at + n] - total[at]) * down[at]) ^ U(n)) & U(BUCKETS - 1)).astype(np.int32)
+        yield longer, (mix((w.eight[w.start[longer]] & FIRST[n]) * U(2 * n + 1) + U(n)) & U(BUCKETS - 1)).astype(np.int32)
 
 
 def by_row(s: Sentences, keep: np.ndarray | None = None) -> Iterator:
