@@ -6,9 +6,11 @@ minhashes. With 14 and 3, sets of similarity 0.8 share a table but for one pair
 similar ones practically always. A partial key that only one set has can be in no shared table and goes
 before keys are combined.
 
-Equal sets count once. In every table all sets are compared with the smallest id there; what that doesn't
-connect is then compared across the components it left, pair by pair. Which pairs get compared therefore
-never depends on the size of a group, and no pair inside a component is compared for nothing.
+Equal sets count once. In every table key all sets are compared with the smallest id there, its hub. Where a
+key still holds several components, its sets fall into clusters (the smallest hub within two steps), and a
+cluster is compared in blocks of bounded size, two blocks a task: texts are sent once for each block of their
+cluster, pairs never leave a task, and of links only those that join components. Pairs that share a key but
+no cluster are compared one by one. Which pairs get compared therefore never depends on the size of a group.
 
 Null ids are linked with nothing and have no component; rows that share an id are one document.
 Null and empty texts have an empty set, linked with nothing.
@@ -29,6 +31,8 @@ from siltstone.llm.text import U, mix, shared, shingle_sets, words
 
 #: Documents compared with one hub in one stretch; more are split.
 STRETCH = 256
+#: Shingles of one block of a cluster, on average.
+A_BLOCK = 1 << 20
 
 
 def _functions(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,12 +109,86 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, of_100: int) -> Da
                         if 100 * both >= of_100 * (len(own) + len(other) - both):
                             found.append((hub[r], node[r]))
                             break
-            a, b = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield _pairs(found)
 
     return rows.select("hub", "stretch", "node", "member", "text").mapInArrow(run, "a long, b long")
 
 
+class Group:
+    """Sets of one task: the rows of one block, or of two, whose pairs across are compared."""
+
+    def __init__(self) -> None:
+        self.sets: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        self.node: tuple[list[int], list[int]] = ([], [])
+        self.component: tuple[list[int], list[int]] = ([], [])
+
+    def add(self, side: int, node: int, component: int, own: np.ndarray) -> None:
+        self.sets[side].append(own)
+        self.node[side].append(node)
+        self.component[side].append(component)
+
+    def links(self, of_100: int) -> Iterator[tuple[int, int]]:
+        """Links between different components, no more than join all that are linked."""
+        left, right = self.sets
+        inside = not right
+        if not left or inside and len(left) < 2:
+            return
+        size = np.array([len(x) for x in left])
+        keys, owner = np.concatenate(left), np.repeat(np.arange(len(left)), size)
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], owner[order]
+        node = self.node[0] + self.node[1]
+        label = np.array(self.component[0] + self.component[1])
+        for j, own in enumerate(left if inside else right):
+            me = j if inside else len(left) + j
+            lo, hi = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
+            n = hi - lo
+            many = int(n.sum())
+            if not many:
+                continue
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(many)
+            both = np.bincount(owner[at], minlength=len(left))
+            near = 100 * both >= of_100 * (size + len(own) - both)
+            for k in np.flatnonzero(near & (label[: len(left)] != label[me])).tolist():
+                if label[k] != label[me]:
+                    label[label == label[k]] = label[me]
+                    yield node[k], node[me]
+
+
+def confirm_clusters(members: DataFrame, texts: DataFrame, shingle: int, of_100: int) -> DataFrame:
+    """Links (a, b) that join components. members: (node, cluster, component, size); texts: (node, text)."""
+    blocks = members.groupBy("cluster").agg(F.ceil(F.sum(F.col("size").cast("long") + 16) / A_BLOCK).cast("int").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    own = members.join(blocks.where("low != high"), "cluster").withColumn("block", F.pmod(F.xxhash64("node"), "n").cast("int"))
+    tasks = own.select("cluster", "node", "component", "block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    tasks = tasks.select("cluster", low.alias("low"), high.alias("high"), F.when(F.col("block") == low, 0).otherwise(1).alias("side"), "node", "component")
+    by = ["cluster", "low", "high"]
+    rows = tasks.join(texts, "node").repartition(*by).sortWithinPartitions(*by)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, Group()
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            columns = [batch.column(k).to_pylist() for k in range(6)]
+            for w in words(batch.column(6)):
+                sets, ends = shingle_sets(w, shingle)
+                for k, r in enumerate(range(w.lo, w.hi)):
+                    task = (columns[0][r], columns[1][r], columns[2][r])
+                    if task != at:
+                        found += group.links(of_100)
+                        at, group = task, Group()
+                    group.add(columns[3][r], columns[4][r], columns[5][r], sets[ends[k] : ends[k + 1]].copy())
+            yield _pairs(found)
+        yield _pairs(list(group.links(of_100)))
+
+    return rows.select(*by, "side", "node", "component", "text").mapInArrow(run, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, of_100: int = 80, tables: int = 14, width: int = 3) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs (doc_id, text)."""
     sketches = written(sketch(docs, shingle, tables, width))
@@ -134,16 +212,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, of_100: int = 80, tables:
     links = written(confirm(star, texts, shingle, of_100))
     labels = components(links)
 
-    known = keys.select("key", "node", "size").join(labels, "node", "left").select("key", "node", "size", F.coalesce("component", "node").alias("component"))
-    known = written(known)
+    known = keys.join(labels, "node", "left").select("key", "node", "size", "hub", F.coalesce("component", "node").alias("component"))
     apart = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    known = known.join(apart, "key", "left_semi")
-    other = known.select("key", F.col("node").alias("other"), F.col("component").alias("theirs"), F.col("size").alias("other_size"))
+    known = written(known.join(apart, "key", "left_semi"))
+    nearest = known.groupBy("node").agg(F.min("hub").alias("near"))
+    reach = known.select("key", "node").join(nearest, "node").groupBy("key").agg(F.min("near").alias("near"))
+    clusters = known.select("key", "node", "size", "component").join(reach, "key")
+    clusters = written(clusters.groupBy("node", "size", "component").agg(F.min("near").alias("cluster")))
+    inside = written(confirm_clusters(clusters, texts, shingle, of_100))
+
+    known = known.select("key", "node", "size", "component").join(clusters.select("node", "cluster"), "node")
+    known = written(known)
+    split = known.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low != high").select("key")
+    known = known.join(split, "key", "left_semi")
+    other = known.select("key", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "component", "cluster")))
     # the smaller set holds the intersection, the larger one is in the union
-    fits = f"component < theirs AND 100L * least(size, other_size) >= {of_100}L * greatest(size, other_size)"
-    across = known.join(other, "key").where(fits).select(F.least("node", "other").alias("hub"), F.greatest("node", "other").alias("node")).distinct()
+    fits = f"cluster < other_cluster AND component != other_component AND 100L * least(size, other_size) >= {of_100}L * greatest(size, other_size)"
+    across = known.join(other, "key").where(fits).select(F.least("node", "other_node").alias("hub"), F.greatest("node", "other_node").alias("node")).distinct()
     across = written(across.join(star, ["hub", "node"], "left_anti"))
-    more = written(confirm(across, texts, shingle, of_100))
+    more = written(inside.union(confirm(across, texts, shingle, of_100)))
     if more.limit(1).count():
         labels = components(links.union(more))
 
