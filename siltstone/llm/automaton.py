@@ -35,8 +35,8 @@ class _Nfa:
 class _Parser:
     """Literals, escapes, classes, groups, |, ?, *, +, {n}, {n,}, {n,m}; (?i:...) for letters in either case."""
 
-    def __init__(self, pattern: str, nfa: _Nfa) -> None:
-        self.p, self.at, self.nfa, self.any_case = pattern.encode(), 0, nfa, False
+    def __init__(self, pattern: str, nfa: _Nfa, backwards: bool = False) -> None:
+        self.p, self.at, self.nfa, self.any_case, self.backwards = pattern.encode(), 0, nfa, False, backwards
 
     def peek(self) -> int:
         return self.p[self.at] if self.at < len(self.p) else -1
@@ -112,7 +112,7 @@ class _Parser:
             n.moves[a].append((node[1], b))
             return b
         if node[0] == "seq":
-            for x in node[1]:
+            for x in reversed(node[1]) if self.backwards else node[1]:
                 a = self.build(x, a)
             return a
         if node[0] == "alt":
@@ -139,8 +139,8 @@ class _Parser:
         return end
 
 
-def compile_rules(patterns: list[str], search: bool, absorb: bool = False) -> Machine:
-    """One minimal automaton of all patterns. search: a match may begin anywhere; absorb: it stays in the first match."""
+def compile_rules(patterns: list[str], search: bool, backwards: bool = False) -> Machine:
+    """One minimal automaton of all patterns. search: a match may begin anywhere; backwards: it reads from the last byte on."""
     nfa = _Nfa()
     root, final = nfa.state(), {}
     if search:
@@ -148,7 +148,7 @@ def compile_rules(patterns: list[str], search: bool, absorb: bool = False) -> Ma
     for rule, pattern in enumerate(patterns):
         start = nfa.state()
         nfa.empty[root].append(start)
-        parser = _Parser(pattern, nfa)
+        parser = _Parser(pattern, nfa, backwards)
         final[parser.build(parser.alternatives(), start)] = rule
 
     # bytes that no set tells apart share a class
@@ -177,9 +177,7 @@ def compile_rules(patterns: list[str], search: bool, absorb: bool = False) -> Ma
         accepts.append(accept)
         row = []
         for c in range(n_classes):
-            to = states if absorb and accept else closure({b for x in states for b in per_class[x][c]})
-            if absorb and any(x in final for x in to):
-                to = frozenset([min(x for x in to if x in final)])
+            to = closure({b for x in states for b in per_class[x][c]})
             if to not in number:
                 number[to] = len(number)
                 todo.append(to)
@@ -206,22 +204,27 @@ def compile_rules(patterns: list[str], search: bool, absorb: bool = False) -> Ma
     return Machine(classes.astype(np.uint8), n_classes, small.reshape(-1), ends, dead)
 
 
-def resetting(m: Machine, absorbing: set[int]) -> np.ndarray:
-    """Which bytes lead every state but the absorbing ones to the start: no match spans them."""
-    table = m.next.reshape(-1, m.n_classes)
-    rest = [q for q in range(len(table)) if q not in absorbing]
-    return (table[rest] == 0).all(axis=0)[m.classes]
+def resetting(m: Machine) -> np.ndarray:
+    """Which bytes lead every state to the start: no match spans them."""
+    return (m.next.reshape(-1, m.n_classes) == 0).all(axis=0)[m.classes]
 
 
-def longest(m: Machine, data: bytes, at: int) -> int:
-    """End of the longest match that begins at `at`, else -1. For a machine that doesn't search."""
-    q, end, nxt, classes, n = 0, -1, m.next, m.classes, m.n_classes
-    if m.accepts[0]:
-        end = at
-    for k in range(at, len(data)):
-        q = nxt[q * n + classes[data[k]]]
-        if m.accepts[q]:
-            end = k + 1
-        elif q in m.dead:
-            break
-    return end
+class Longest:
+    """Finds the end of the longest match that begins at a byte. For a machine that doesn't search."""
+
+    def __init__(self, m: Machine) -> None:
+        self.next = m.next.reshape(-1, m.n_classes)[:, m.classes].tolist()
+        self.accepts = [bool(a) for a in m.accepts]
+        self.dead = [q in m.dead for q in range(len(self.accepts))]
+
+    def end(self, data: bytes, at: int) -> int:
+        """-1 where there is none."""
+        row, end, rows, accepts, dead = self.next[0], at if self.accepts[0] else -1, self.next, self.accepts, self.dead
+        for k in range(at, len(data)):
+            q = row[data[k]]
+            if accepts[q]:
+                end = k + 1
+            elif dead[q]:
+                break
+            row = rows[q]
+        return end

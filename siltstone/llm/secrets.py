@@ -1,10 +1,12 @@
 """Secret scans: one minimal deterministic automaton of all rules reads every byte once.
 
-Texts are cut behind bytes that lead every state back to the start, which no match can hold, and the
-pieces walk through the transition array side by side. Pieces that reach the accepting state are read
-again rule by rule for the exact spans: leftmost, longest, not overlapping within a kind.
+The automaton reads backwards, so its accepting states say at each byte which rules have a match that begins
+there. Texts are cut behind bytes that lead every state back to the start, which no match can hold, and the
+pieces walk through the transition array side by side, long ones on their own. A span begins at a rule's first
+mark behind its span before, and only its own bytes are read once more, for its end: leftmost, longest, not
+overlapping within a kind. So all is linear in the text, however often a rule's beginning is repeated.
 
-Null and empty texts have no spans; repeated rows give the same spans.
+Null and empty texts have no spans; repeated rows give the same spans; ties of place go by the order of rules.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.automaton import Machine, compile_rules, longest, resetting
+from siltstone.llm.automaton import Longest, compile_rules, resetting
 from siltstone.llm.text import chunks
 
 
@@ -31,14 +33,14 @@ class Rule(NamedTuple):
     body_least: int = 1
     least: int = 0
     base: bool = True
-    #: The rule for the detector, where its limits may be built in: the same matches count.
-    detector: str | None = None
+    #: What begins where a match that counts begins, if a match that doesn't count never hides one that does.
+    mark: str | None = None
 
 
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", "[A-Za-z0-9+/_.=-]+", 12),
-    Rule("access", "AKIA", "[A-Z0-9]+", least=18, detector="AKIA[A-Z0-9]{14}"),
-    Rule("hex", "", "[0-9a-f]+", 16, detector="[0-9a-f]{16}"),
+    Rule("access", "AKIA", "[A-Z0-9]+", least=18, mark="AKIA[A-Z0-9]{14}"),
+    Rule("hex", "", "[0-9a-f]+", 16, mark="[0-9a-f]{16}"),
     Rule("github", "gh[opsur]_", "[A-Za-z0-9]+", 36, base=False),
     Rule("google", "AIza", "[A-Za-z0-9_-]+", 35, base=False),
     Rule("slack", "xox[abprs]-", "[A-Za-z0-9-]+", 10, base=False),
@@ -48,79 +50,98 @@ RULES = (
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 _PIECES = 1 << 21
+#: Pieces that walk side by side, at least; fewer walk one by one.
+_ABREAST = 48
 
 
 class Scanner:
-    """Compiled rules. The detector stays in its accepting state; the others begin at a given byte."""
+    """Compiled rules."""
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        self.detector = compile_rules([r.detector or r.head + r.body for r in rules], search=True, absorb=True)
-        self.hits = {q for q, a in enumerate(self.detector.accepts) if a}
-        self.cuts = resetting(self.detector, self.hits)
-        self.walks = [(compile_rules([r.head], False) if r.head else None, compile_rules([r.body], False)) for r in rules]
-        self.begins = [self._begins(head or body) for head, body in self.walks]
-        width = self.detector.n_classes
-        self.next = self.detector.next.astype(np.int32) * width
-        self.accepting = np.zeros(len(self.next), bool)
-        self.accepting[[q * width for q in self.hits]] = True
-
-    @staticmethod
-    def _begins(m: Machine) -> frozenset[int]:
-        return frozenset(b for b in range(256) if int(m.next[m.classes[b]]) not in m.dead)
-
-    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and end of the pieces in which some rule matches."""
+        m = compile_rules([r.mark or r.head + r.body for r in rules], search=True, backwards=True)
+        order = np.argsort([bool(a) for a in m.accepts], kind="stable")  # states that accept come last, the start stays first
+        number = np.argsort(order)
+        table = number[m.next.reshape(-1, m.n_classes)[order]].astype(np.int32)
+        self.cuts, self.classes, self.width = resetting(m), m.classes, m.n_classes
+        self.first_mark = sum(not a for a in m.accepts)
+        self.next = (table * self.width).reshape(-1)  # states are places of their rows
+        self.rows = table[:, m.classes].tolist()
+        self.marks = np.array([[k in m.accepts[q] for k in range(len(rules))] for q in order[self.first_mark :]]).reshape(-1, len(rules))
+        self.ends = [(Longest(compile_rules([r.head], False)) if r.head else None, Longest(compile_rules([r.body], False))) for r in rules]
+
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places at which rules have matches, ascending, and their marking states (from 0)."""
         cut = np.flatnonzero(self.cuts[data]) + 1
         edge = np.union1d(cut, offsets)
         start, end = edge[:-1], edge[1:]
         if not len(start):
-            return start, end
+            return start, start
         order = np.argsort(start - end, kind="stable")
         start, end = start[order], end[order]
         size = end - start
-        classes = self.detector.classes[data]
+        classes = self.classes[data]
         state = np.zeros(len(start), np.int32)
-        live = len(start) - np.searchsorted(size[::-1], np.arange(int(size[0])), "right")  # pieces longer than t
+        steps = int(size[_ABREAST - 1]) if len(size) >= _ABREAST else 0
+        live = len(start) - np.searchsorted(size[::-1], np.arange(steps), "right")  # pieces longer than t
+        least, found = self.first_mark * self.width, []
         for t, n in enumerate(live.tolist()):
-            state[:n] = self.next[state[:n] + classes[start[:n] + t]]
-        hit = self.accepting[state]
-        return start[hit], end[hit]
-
-    def spans(self, data: bytes) -> list[tuple[int, int, str]]:
-        """(start, rule, end, kind) in bytes, by start and then rule."""
+            at = end[:n] - (t + 1)
+            q = state[:n] = self.next[state[:n] + classes[at]]
+            if q.max() >= least:
+                hit = np.flatnonzero(q >= least)
+                found.append((at[hit], q[hit] // self.width))
+        for k in range(int(np.searchsorted(-size, -steps, "left"))):
+            found.append(self._alone(data[start[k] : end[k] - steps].tobytes(), int(start[k]), int(state[k]) // self.width))
+        if not found:
+            return start[:0], start[:0]
+        at, q = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        return at[order], q[order] - self.first_mark
+
+    def _alone(self, data: bytes, base: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, least, at, states = self.rows, self.first_mark, [], []
+        row = rows[q]
+        for k in range(len(data) - 1, -1, -1):
+            q = row[data[k]]
+            if q >= least:
+                at.append(base + k)
+                states.append(q)
+            row = rows[q]
+        return np.array(at, np.int64), np.array(states, np.int64)
+
+    def spans(self, data: bytes, at: np.ndarray, state: np.ndarray) -> list[tuple[int, int, int, str]]:
+        """(start, rule, end, kind) in bytes of one text, by start and then rule; at and state as from `starts`."""
         found = []
-        for k, (rule, (head, body), begins) in enumerate(zip(self.rules, self.walks, self.begins, strict=True)):
-            at, n = 0, len(data)
-            while at < n:
-                if data[at] not in begins:
-                    at += 1
+        marks = self.marks[state]
+        for k in np.flatnonzero(marks.any(axis=0)).tolist():
+            rule, (head, body), last = self.rules[k], self.ends[k], 0
+            for s in at[marks[:, k]].tolist():
+                if s < last:
                     continue
-                inner = longest(head, data, at) if head else at
-                end = longest(body, data, inner) if inner >= 0 else -1
+                inner = head.end(data, s) if head else s
+                end = body.end(data, inner) if inner >= 0 else -1
                 if end <= inner:
-                    at += 1
                     continue
-                if end - inner >= rule.body_least and end - at >= rule.least:
-                    found.append((at, k, end, rule.kind))
-                at = end
+                if end - inner >= rule.body_least and end - s >= rule.least:
+                    found.append((s, k, end, rule.kind))
+                last = end
         return sorted(found)
 
     def column(self, texts: pa.Array) -> list[list[tuple[str, int, int]]]:
         """Spans (kind, start, end in code points) of every row."""
         out: list[list[tuple[str, int, int]]] = [[] for _ in range(len(texts))]
         for lo, _, data, offsets in chunks(texts, _PIECES):
-            start, end = self.pieces(data, offsets)
-            order = np.argsort(start)
-            start, end = start[order], end[order]
-            row = np.searchsorted(offsets, start, "right") - 1
-            last, points, base = -1, None, 0
-            for a, b, r in zip(start.tolist(), end.tolist(), row.tolist(), strict=True):
-                if r != last:
-                    last, base = r, int(offsets[r])
-                    points = np.concatenate([[0], np.cumsum((data[base : offsets[r + 1]] & 0xC0) != 0x80)])
-                for s, _, e, kind in self.spans(data[a:b].tobytes()):
-                    out[lo + r].append((kind, int(points[a - base + s]), int(points[a - base + e])))
+            at, state = self.starts(data, offsets)
+            row = np.searchsorted(offsets, at, "right") - 1
+            edge = np.flatnonzero(np.diff(row, prepend=-1, append=len(offsets)))
+            for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                r = int(row[a])
+                base, own = int(offsets[r]), data[offsets[r] : offsets[r + 1]]
+                found = self.spans(own.tobytes(), at[a:b] - base, state[a:b])
+                if found:
+                    points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+                    out[lo + r] = [(kind, int(points[s]), int(points[e])) for s, _, e, kind in found]
         return out
 
 

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pyarrow as pa
 import pytest
@@ -65,3 +67,29 @@ def test_query(spark):
     for r in rows:
         found = brute(texts[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[0] == k for s in found) for k in secrets.BASE_KINDS)
+
+
+def test_long_unbroken_texts_take_linear_time():
+    machine = secrets.scanner(secrets.RULES)
+    n = 1 << 20
+    texts = ["eyJ" * (n // 3) + "_0123456789abcdef", "Qm9v" * (n // 4), "AKIA" * (n // 4), "deadbeef" * (n // 8), "token=" * (n // 6), "eyJa." * (n // 5), "token=secret:" * (n // 13)]
+    for t in texts:
+        began = time.process_time()
+        found = machine.column(pa.array([t, "x"] + ["word " * 20] * 60))
+        assert time.process_time() - began < 5
+        assert base(found) == [brute(t), *[[]] * 61]
+
+
+def test_every_rule_leftmost_and_longest():
+    """All rules, those that aren't base too, against one regex each."""
+    r = random.Random(4)
+    parts = ["ghp_", "gho_", "AIza", "xoxb-", "eyJ", ".", "-", "_", "a1B2c3D4e5" * 4, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", " ", "\n", "é", "token", "=", "AKIA", "0123456789abcdef"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randrange(1, 14))) for _ in range(3000)]
+    found = secrets.scanner(secrets.RULES).column(pa.array(texts))
+    for t, own in zip(texts, found, strict=True):
+        want = []
+        for k, rule in enumerate(secrets.RULES):
+            for m in re.finditer(f"({rule.head})({rule.body})", t):
+                if m.end() - m.end(1) >= rule.body_least and m.end() - m.start() >= rule.least:
+                    want.append((m.start(), k, m.end(), rule.kind))
+        assert own == [(kind, s, e) for s, _, e, kind in sorted(want)], t
