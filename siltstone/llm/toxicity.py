@@ -6,10 +6,15 @@ counts by how far its -log(1 - p) is above that of a sentence without features,
 long it is: sentences that tell nothing, or only good, add nothing.
 
 Features are words and the first `PREFIXES` bytes of longer ones, so rare and unseen forms of a marked stem
-count too. The classifier is fitted on at most `SAMPLE` labelled rows, those with the least hash of their id;
-features are those whose presence goes with the label by `LEAST_Z` standard deviations. They are counted where
-the texts are; only counts and the chosen ones of each text come to the driver. Everything else covers all documents. A text without words is one sentence without words. Null labels and ids teach
-nothing; with no labels, or of one kind only, all scores are equal.
+count too; a sentence has each once. All of them are in the objective, under an L1 penalty of the same strength
+at every size: weights stay zero whose gradient is no more than `L1`. Those that don't are fitted once more under
+a slight L2 penalty. The classifier is fitted on a bounded sample of the labelled rows: at most `SAMPLE` of those
+with the least hash of their id, and no more than `SAMPLE_BYTES` of text. Everything else covers all documents.
+
+Null and empty texts, and texts without words, are one sentence without words; very long texts are sentences like
+others. Null labels and ids teach nothing, other labels than 0 and 1 neither; with no labels, or of one kind
+only, all scores are equal. Equal texts score alike; rows that repeat an id are rows of their own, in the sample
+too. A column toxic_score or offending is replaced. Empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from pyspark.sql import types as T
 from siltstone.llm.tables import crc, table
 from siltstone.llm.text import FIRST, PUNCTUATION, U, Words, mix, words
 
-SAMPLE = 20_000
+SAMPLE, SAMPLE_BYTES = 20_000, 8 << 20
 BUCKETS = 1 << 22
 PREFIXES = (4, 5, 6, 7, 8)
-LEAST_Z, LEAST_DOCS = 4.5, 3
+L1, L2 = 1.5, 0.1
 CUTOFF = 0.7
 _ENDS = np.zeros(256, bool)
 _ENDS[[*b".!?\n"]] = True
@@ -67,26 +72,16 @@ def features(w: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield longer, (mix((w.eight[w.start[longer]] & FIRST[n]) * U(2 * n + 1) + U(n)) & U(BUCKETS - 1)).astype(np.int32)
 
 
-def by_row(s: Sentences, keep: np.ndarray | None = None) -> Iterator:
-    """Each row's buckets; with keep, those it holds in order of sentences, and the sentence of each."""
-    word, bucket = [], []
-    for k, b in features(s.w):
+def by_sentence(s: Sentences, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(sentence, bucket) of each feature a sentence has, ascending; with keep, only of buckets it marks."""
+    found = []
+    for word, bucket in features(s.w):
         if keep is not None:
-            k, b = k[keep[b]], b[keep[b]]
-        word.append(k)
-        bucket.append(b)
-    word, bucket = np.concatenate(word), np.concatenate(bucket)
-    order = np.argsort(word, kind="stable")
-    word, bucket = word[order], bucket[order]
-    ends = np.searchsorted(word, s.w.first)
-    at = np.searchsorted(s.first, word, "right")
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-        yield bucket[a:b] if keep is None else (bucket[a:b], at[a:b])
-
-
-def lean(n: np.ndarray, toxic: np.ndarray, p: float) -> np.ndarray:
-    """By how many standard deviations features of n rows go with the label, whose share is p."""
-    return (toxic - n * p) / np.sqrt(np.maximum(n, 1) * p * (1 - p))
+            some = keep[bucket]
+            word, bucket = word[some], bucket[some]
+        found.append((np.searchsorted(s.first, word, "right") - 1) << 32 | bucket)
+    key = np.unique(np.concatenate(found))
+    return key >> 32, key & 0xFFFFFFFF
 
 
 def softplus(x: np.ndarray) -> np.ndarray:
@@ -103,108 +98,121 @@ def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate([[0.0], np.cumsum(values)])[first])
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], steps: int = 600, penalty: float = 2e-5) -> Model:
-    """rows: label, buckets of the features, features of each sentence."""
-    weights = np.zeros(BUCKETS, np.float32)
-    y = np.array([r[0] for r in rows], float)
-    if len(set(y.tolist())) < 2:
-        p = (y.sum() + 0.5) / (len(y) + 1)
-        return Model(float(np.log(p / (1 - p))), weights)
-    have = [np.zeros(BUCKETS, np.int64) for _ in range(2)]
-    for label, bucket, _ in rows:
-        have[label][np.unique(bucket)] += 1
-    n = have[0] + have[1]
-    chosen = np.flatnonzero((np.abs(lean(n, have[1], y.mean())) >= LEAST_Z) & (n >= LEAST_DOCS))
-    number = np.full(BUCKETS, -1)
-    number[chosen] = np.arange(len(chosen))
-
-    feature, sentence, doc = [], [], []
-    told = 0
-    for k, (_, bucket, size) in enumerate(rows):
-        f = number[bucket]
-        at = np.repeat(np.arange(len(size)), size)[f >= 0]
-        used, at = np.unique(at, return_inverse=True)
-        feature.append(f[f >= 0])
-        sentence.append(at + told)
-        doc.append(np.full(len(used), k))
-        told += len(used)
-    feature, sentence, doc = map(np.concatenate, (feature, sentence, doc))
-
-    theta = np.zeros(len(chosen) + 1)
-    theta[-1] = -4.0
+class Bags:
+    """Labelled documents as features of sentences; feature f is bucket buckets[f]. Every sentence has features."""
+
+    def __init__(self, y: np.ndarray, buckets: np.ndarray, feature: np.ndarray, sentence: np.ndarray, doc: np.ndarray) -> None:
+        """feature and sentence: one for each feature of a sentence, in order of sentences; doc: by sentence."""
+        self.y, self.buckets, self.feature, self.sentence, self.doc = y, buckets, feature, sentence, doc
+        order = np.argsort(feature, kind="stable")
+        self.sentence_of = sentence[order]  # in order of features
+        self.of_sentence, self.of_feature = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (sentence, feature[order]))
+
+    def scores(self, w: np.ndarray, bias: float) -> np.ndarray:
+        """Of sentences; w by feature."""
+        return bias + np.add.reduceat(w[self.feature], self.of_sentence) if len(self.feature) else np.zeros(0)
+
+    def likelihood(self, w: np.ndarray, bias: float) -> float:
+        """Log-likelihood of the labels."""
+        quiet = softplus(bias) + np.bincount(self.doc, above(self.scores(w, bias), bias), len(self.y))  # -log(1 - P)
+        return float(np.where(self.y == 1, np.log(np.maximum(-np.expm1(-quiet), 1e-300)), -quiet).sum())
+
+    def gradient(self, w: np.ndarray, bias: float) -> np.ndarray:
+        """Derivatives of the likelihood by the weight of every feature, and at the end by the bias."""
+        s = self.scores(w, bias)
+        more = s >= bias
+        quiet = softplus(bias) + np.bincount(self.doc, above(s, bias), len(self.y))
+        odds = np.where(self.y == 1, np.exp(-quiet) / np.maximum(-np.expm1(-quiet), 1e-12), -1.0)
+        own = odds[self.doc]
+        slope = own * more / (1 + np.exp(-s))
+        null = (odds.sum() - own[more].sum()) / (1 + np.exp(-bias))
+        by_feature = np.add.reduceat(slope[self.sentence_of], self.of_feature) if len(self.feature) else np.zeros(0)
+        return np.append(by_feature, slope.sum() + null)
+
+    def only(self, kept: np.ndarray) -> Bags:
+        """With the features of a mask, and the sentences that have some."""
+        some = kept[self.feature]
+        sentence, at = np.unique(self.sentence[some], return_inverse=True)
+        return Bags(self.y, self.buckets[kept], (np.cumsum(kept) - 1)[self.feature[some]], at, self.doc[sentence])
+
+
+def bags(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Bags:
+    """rows: label, buckets of all sentences one after the other, how many each sentence has."""
+    size = np.concatenate([r[2] for r in rows])
+    buckets, feature = np.unique(np.concatenate([r[1] for r in rows]), return_inverse=True)
+    doc = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
+    some = size > 0
+    return Bags(np.array([r[0] for r in rows], float), buckets, feature.astype(np.int32), np.repeat(np.arange(some.sum(), dtype=np.int32), size[some]), doc[some])
+
+
+def ascend(b: Bags, w: np.ndarray, bias: float, l1: float, l2: float, steps: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of greatest penalised likelihood, by Adam with shrinkage, from w and bias on."""
+    theta = np.append(w, bias)
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, bias = theta[:-1], theta[-1]
-        s = bias + np.bincount(sentence, w[feature], told)
-        told_more = s >= bias
-        quiet = softplus(bias) + np.bincount(doc, above(s, bias), len(y))  # -log(1 - P)
-        odds = np.where(y == 1, np.exp(-quiet) / np.maximum(-np.expm1(-quiet), 1e-12), -1.0)
-        slope = odds[doc] * told_more / (1 + np.exp(-s))
-        null = (odds.sum() - odds[doc][told_more].sum()) / (1 + np.exp(-bias))
-        g = np.append(np.bincount(feature, slope[sentence], len(chosen)), slope.sum() + null) / len(y)
-        g[:-1] -= penalty * w
+        g = b.gradient(theta[:-1], theta[-1])
+        g[:-1] -= l2 * theta[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        theta += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
-    weights[chosen] = theta[:-1]
-    return Model(float(theta[-1]), weights)
+        rate = 0.1 * (1 - 0.9 * step / steps) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        theta += rate * m / (1 - 0.9**step)
+        if l1:
+            theta[:-1] = np.sign(theta[:-1]) * np.maximum(np.abs(theta[:-1]) - rate[:-1] * l1, 0)
+    return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], l1: float = L1, l2: float = L2, steps: int = 200) -> Model:
+    """rows: label, buckets of all sentences one after the other, how many each sentence has."""
+    weights = np.zeros(BUCKETS, np.float32)
+    n, toxic = len(rows), sum(r[0] for r in rows)
+    bias = float(np.log((toxic + 0.5) / (n - toxic + 0.5)))
+    if toxic in (0, n):
+        return Model(bias, weights)
+    b = bags(rows)
+    w, bias = ascend(b, np.zeros(len(b.buckets)), bias - 1, l1, 0.0, steps)
+    part = b.only(w != 0)
+    weights[part.buckets], bias = ascend(part, w[w != 0], bias, 0.0, l2, 2 * steps)
+    return Model(bias, weights)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """labels: (doc_id, toxic), only rows to learn from."""
     own = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)  # at most `sample` rows of two numbers
-
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id").select("toxic", "text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        have, n = np.zeros((2, BUCKETS), np.int32), np.zeros(2, np.int64)
-        for batch in batches:
-            label = batch.column(0).to_numpy()
-            n += np.bincount(label, minlength=2)
-            for s in sentences(batch.column(1)):
-                for k, found in enumerate(by_row(s)):
-                    have[label[s.w.lo + k]][np.unique(found)] += 1
-        some = np.flatnonzero(have.any(axis=0))
-        columns = (np.append(x, y).astype(np.int64) for x, y in ((some, -1), (have[0][some], n[0]), (have[1][some], n[1])))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["bucket", "clean", "toxic"])
-
-    counts = texts.mapInArrow(count, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    bucket, clean, toxic = (c.to_numpy() for c in counts.where(F.expr(f"bucket < 0 OR clean + toxic >= {LEAST_DOCS}")).toArrow().columns)
-    rows = [int(x[bucket < 0].sum()) for x in (clean, toxic)]
-    marked = np.zeros(BUCKETS, bool)
-    if min(rows):
-        marked[bucket[(bucket >= 0) & (np.abs(lean(clean + toxic, toxic, rows[1] / sum(rows))) >= LEAST_Z)]] = True
-    shared = docs.sparkSession.sparkContext.broadcast(np.flatnonzero(marked).astype(np.int32))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(own), "doc_id")
+    size = texts.groupBy(F.xxhash64("doc_id").alias("place"), "doc_id").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("bytes")).toPandas()
+    size = size.sort_values(["place", "doc_id"])
+    chosen = size["doc_id"][size["bytes"].cumsum() <= sample_bytes]
+    chosen = docs.sparkSession.createDataFrame([(int(x),) for x in chosen], "doc_id long")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep = np.zeros(BUCKETS, bool)
-        keep[shared.value] = True
         for batch in batches:
             for s in sentences(batch.column(1)):
-                found = list(by_row(s, keep))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(s.w.lo, len(found)),
-                        pa.array([b.tobytes() for b, _ in found], pa.binary()),
-                        pa.array([np.unique(at, return_counts=True)[1].astype(np.int32).tobytes() for _, at in found], pa.binary()),
-                    ],
-                    ["toxic", "bucket", "size"],
-                )
-
-    got = texts.mapInArrow(pick, "toxic int, bucket binary, size binary").toArrow().to_pydict()
-    return fit([(t, np.frombuffer(b, np.int32), np.frombuffer(s, np.int32)) for t, b, s in zip(*got.values(), strict=True)])
-
-
-def probabilities(model: Model, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row, and of each sentence."""
-    told = np.zeros(len(s.w.start))
-    for k, bucket in features(s.w):
-        told[k] += model.weights[bucket]
-    score = model.bias + sums(told, s.first)
+                sentence, bucket = by_sentence(s)
+                size = np.bincount(sentence, minlength=len(s.first) - 1).astype(np.int32)
+                at, rows = np.searchsorted(sentence, s.of_row).tolist(), range(len(s.of_row) - 1)
+                bucket, first = bucket.astype(np.int32), s.of_row.tolist()
+                columns = (pa.array([x[e[r] : e[r + 1]].tobytes() for r in rows], pa.binary()) for x, e in ((bucket, at), (size, first)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.w.lo, len(rows)), *columns], ["toxic", "bucket", "size"])
+
+    got = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(pick, "toxic int, bucket binary, size binary").toArrow().to_pydict()
+    return fit([(t, np.frombuffer(b, np.int32), np.frombuffer(s, np.int32)) for t, b, s in sorted(zip(*got.values(), strict=True))])
+
+
+def probabilities(model: Model, s: Sentences, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, and of each sentence. keep: the buckets that have a weight."""
+    sentence, bucket = by_sentence(s, keep)
+    score = model.bias + np.bincount(sentence, model.weights[bucket], len(s.first) - 1)
     quiet = softplus(np.array(model.bias)) + sums(above(score, model.bias), s.of_row)
     return -np.expm1(-quiet), 1 / (1 + np.exp(-score))
 
 
+def scored(model: Model, column: pa.Array) -> Iterator[tuple[Sentences, np.ndarray, np.ndarray]]:
+    """Sentences of each run of rows, with the probabilities of rows and sentences."""
+    keep = model.weights != 0
+    for s in sentences(column):
+        yield s, *probabilities(model, s, keep)
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with toxic_score, in place of a column of that name; no shuffle."""
     docs = docs.drop("toxic_score")
@@ -213,7 +221,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [probabilities(shared.value, s)[0] for s in sentences(batch.column(batch.schema.get_field_index(text)))]
+            found = [p for _, p, _ in scored(shared.value, batch.column(batch.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else [], pa.float64())], [*batch.schema.names, "toxic_score"])
 
     return docs.mapInArrow(run, schema)
@@ -225,7 +233,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text", cutoff: float = CU
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [probabilities(shared.value, s)[0] for s in sentences(batch.column(batch.schema.get_field_index(text)))]
+            found = [p for _, p, _ in scored(shared.value, batch.column(batch.schema.get_field_index(text)))]
             yield batch.filter(pa.array(np.concatenate(found) < cutoff)) if found else batch
 
     return docs.mapInArrow(run, docs.schema)
@@ -242,8 +250,7 @@ def locate(docs: DataFrame, model: Model, text: str = "text", cutoff: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            for s in sentences(batch.column(batch.schema.get_field_index(text))):
-                _, p = probabilities(shared.value, s)
+            for s, _, p in scored(shared.value, batch.column(batch.schema.get_field_index(text))):
                 for k in np.flatnonzero(p >= cutoff).tolist():
                     r = int(np.searchsorted(s.of_row, k, "right")) - 1
                     base, a, b = s.w.offsets[r], s.w.start[s.first[k]], s.w.end[s.first[k + 1] - 1]

@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from siltstone.llm import toxicity
 
@@ -87,3 +89,78 @@ def test_held_out_by_language(spark):
     least = {"en": 0.85, "fr": 0.75, "de": 0.7, "es": 0.7}
     assert all(shares[k][0] >= x * shares[k][1] for k, x in least.items()), shares
     assert sum(flagged) <= 0.01 * len(flagged)
+
+
+def plain_score(model, text):
+    """Noisy-or as it is written down: sentence by sentence, feature by feature."""
+    import math
+    import re
+
+    quiet = math.log1p(math.exp(model.bias))
+    for sentence in re.split(r"[.!?\n]", text):
+        found = {w.encode().lower() for w in re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", sentence)}
+        forms = found | {(w, n) for w in found for n in toxicity.PREFIXES if len(w) > n}
+        buckets = set()
+        for f in forms:
+            w, n = (f, None) if isinstance(f, bytes) else f
+            for s in toxicity.sentences(pa.array([w.decode()])):
+                own = list(toxicity.features(s.w))
+                buckets.add(int(own[0][1][0]) if n is None else int(own[1 + toxicity.PREFIXES.index(n)][1][0]))
+        score = model.bias + sum(float(model.weights[b]) for b in buckets)
+        quiet += max(math.log1p(math.exp(score)) - math.log1p(math.exp(model.bias)), 0)
+    return -math.expm1(-quiet)
+
+
+def rows_of(docs, labels):
+    out = []
+    for (_, text, *_), (_, toxic, *_) in zip(docs, labels):
+        for s in toxicity.sentences(pa.array([text])):
+            at, bucket = toxicity.by_sentence(s)
+            out.append((toxic, bucket.astype(np.int32), np.bincount(at, minlength=len(s.first) - 1).astype(np.int32)))
+    return out
+
+
+def test_score_is_the_noisy_or_and_its_gradient_is_right():
+    docs, labels = made(150, 4)
+    rows = rows_of(docs, labels)
+    model = toxicity.fit(rows)
+    texts = [d[1] for d in docs[:40]] + ["", "Vile vile é VILE!", "a.b\nc"]
+    got = np.concatenate([p for _, p, _ in toxicity.scored(model, pa.array(texts))])
+    assert np.allclose(got, [plain_score(model, t) for t in texts])
+
+    b, r = toxicity.bags(rows), np.random.default_rng(0)
+    w, bias = r.normal(0, 0.5, len(b.buckets)), -2.0
+    g = b.gradient(w, bias)
+    for k in [*r.integers(0, len(w), 20).tolist(), len(w)]:
+        step = np.zeros(len(w) + 1)
+        step[k] = 1e-6
+        up, down = (b.likelihood((np.append(w, bias) + x)[:-1], (np.append(w, bias) + x)[-1]) for x in (step, -step))
+        assert abs((up - down) / 2e-6 - g[k]) < 1e-4
+
+
+def test_small_gradients_stay_zero():
+    """Under the L1 penalty alone, weights are zero exactly where the gradient is within it."""
+    rows = rows_of(*made(300, 6))
+    b = toxicity.bags(rows)
+    w, bias = toxicity.ascend(b, np.zeros(len(b.buckets)), -3.0, toxicity.L1, 0.0, 600)
+    g = b.gradient(w, bias)[:-1]
+    assert 0 < (w != 0).sum() < len(w) / 20
+    assert np.abs(g[w == 0]).max() < 1.1 * toxicity.L1
+
+
+@pytest.mark.parametrize(("sf", "least"), [("sf0.001", 0.6), ("sf0.01", 0.9)])
+def test_held_out_order(spark, sf, least):
+    """Of a toxic and a clean held-out row, the toxic one scores higher so often."""
+    sf = f"/root/testdata/{sf}"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    got = [(r.score, labels[r.doc_id]) for r in toxicity.query(spark, sf).where("held_out").collect() if labels.get(r.doc_id) is not None]
+    high, low = ([s for s, t in got if t == k] for k in (1, 0))
+    assert np.mean([(a > b) + (a == b) / 2 for a in high for b in low]) >= least
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs, labels = made(200, 5)
+    d = spark.createDataFrame([*[x[:2] for x in docs], (999, "vile " * 30_000)], "doc_id long, text string")
+    t = spark.createDataFrame([*[x[:2] for x in labels], (999, 1)], "doc_id long, toxic int")
+    assert (toxicity.train(d, t, sample_bytes=60_000).weights != 0).any()
+    assert not (toxicity.train(d, t, sample_bytes=0).weights != 0).any()
