@@ -36,7 +36,9 @@ class Options:
     #: Flush when so many batches wait.
     pending_batches: int = 2
     #: Flush when so many bytes of newest entries wait; also the size at which compaction cuts runs.
-    run_bytes: int = 4 << 20
+    run_bytes: int = 256 << 20
+    #: Versions whose files stay readable.
+    keep_versions: int = 5
     block_bytes: int = 4096
     strategy: Strategy = Strategy.NONE
     # size-tiered
@@ -44,12 +46,12 @@ class Options:
     tier_factor: float = 2.0
     # leveled
     level0_runs: int = 4
-    level1_bytes: int = 16 << 20
+    level1_bytes: int = 1 << 30
     level_factor: int = 10
     levels: int = 4
 
     def __post_init__(self) -> None:
-        if min(self.pending_batches, self.run_bytes, self.block_bytes, self.level0_runs, self.levels) < 1 or self.tier_runs < 2:
+        if min(self.pending_batches, self.run_bytes, self.block_bytes, self.level0_runs, self.levels, self.keep_versions) < 1 or self.tier_runs < 2:
             raise ValueError("options must be positive, and a tier has two runs or more")
         if self.tier_factor < 1 or self.level_factor < 2:
             raise ValueError("factors must be 1 (tiers) and 2 (levels) or more")

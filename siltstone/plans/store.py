@@ -1,6 +1,7 @@
 """A store in a folder: a durable log of batches, sorted runs, and the manifest that says what holds.
 
-One writer at a time; the manifest's rename tells a second one so. Reads see one version of the manifest.
+One writer at a time; the manifest's rename tells a second one so. Reads see one version of the manifest, and
+its files stay for as many versions as `Options.keep_versions` says, so frames outlive a flush or a merge.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from siltstone.model import ABSENT, DELETED, FOUND, LOG, Options, Strategy
 from siltstone.operators import mutations, reads
@@ -29,7 +31,7 @@ class Store:
         """Opens or makes the store; ids and seqs go on where they were."""
         self.spark, self.options = spark, options or Options()
         self.files = Files(spark, path)
-        self.catalog = Catalog(self.files)
+        self.catalog = Catalog(self.files, self.options.keep_versions)
         self.manifest = self.catalog.load()
         self.closed = False
 
@@ -93,7 +95,7 @@ class Store:
             name, _, number = source.rpartition(":")
             changes["streams"] = self.manifest.streams | {name: int(number)}
         if n:
-            changes |= {"batches": (*self.manifest.batches, Batch(path, n, size, low, high, source)), "last_seq": high}
+            changes |= {"batches": (*self.manifest.batches, Batch(path, n, size, low, high, source)), "last_seq": max(high, self.manifest.last_seq)}
         if changes:
             self.manifest = self.catalog.commit(self.manifest, **changes)
 
@@ -106,8 +108,6 @@ class Store:
         pending = self._log(old.batches)
         runs = self._write_runs(latest(pending), 0, sum(b.bytes for b in old.batches), sum(b.n_rows for b in old.batches), parts=False)
         self.manifest = self.catalog.commit(old, runs=(*old.runs, *runs), batches=(), next_run=old.next_run + len(runs))
-        for b in old.batches:
-            self.files.delete(b.path)
         if self.options.strategy is not Strategy.NONE:
             self.compact()
         return list(runs)
@@ -121,7 +121,8 @@ class Store:
         if self.options.bloom_filter:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, rows // ranges)))
         writer.parquet(path)
-        got = manifest_rows(self.spark.read.parquet(path), "part").orderBy("first_key").collect() if rows else []
+        own = self.spark.read.schema(StructType([*LOG.fields, StructField("part", IntegerType())])).parquet(path)  # without rows there are no parts
+        got = manifest_rows(own, "part").orderBy("first_key").collect()
         return [
             Run(
                 self.manifest.next_run + k, level, f"{path}/part={r['part']}", r["n_rows"], r["n_tombstones"], r["bytes"],
@@ -150,8 +151,14 @@ class Store:
         runs = self._write_runs(merged, task.level, sum(r.bytes for r in inputs), sum(r.n_rows for r in inputs), parts=task.level > 0)
         kept = tuple(r for r in old.runs if r.run_id not in task.inputs)
         self.manifest = self.catalog.commit(old, runs=(*kept, *runs), next_run=old.next_run + len(runs))
-        for r in inputs:
-            self.files.delete(r.path)
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Removes what only versions before the newest `keep` have, and what writers that failed left. The folders removed.
+
+        Frames that were made before it may lose their files.
+        """
+        self._open()
+        return self.catalog.vacuum(keep)
 
     # reads
 
@@ -195,12 +202,11 @@ class Store:
         """(run_id, block_id, n_entries, first_key, last_key, crc) of all runs."""
         from siltstone.functions import codec
 
-        runs = None
-        for r in self.manifest.runs:
-            own = self._log([r]).withColumn("run_id", F.lit(r.run_id).cast("long"))
-            runs = own if runs is None else runs.union(own)
-        if runs is None:
-            runs = self._log([]).withColumn("run_id", F.lit(0).cast("long"))
+        tail = lambda c: F.regexp_extract(c, r"runs/([0-9a-f]+/part=\d+)", 1)
+        ids = self.manifest.frame(self.spark).select("run_id", tail(F.col("path")).alias("part"))  # a row for each run
+        own = self._log(self.manifest.runs)
+        part = tail(F.col("_metadata.file_path")) if self.manifest.runs else F.lit("")
+        runs = own.withColumn("part", part).join(ids, "part").drop("part")
         return codec.blocks(runs, block_bytes or self.options.block_bytes).drop("block")
 
     # life

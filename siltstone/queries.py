@@ -103,9 +103,11 @@ def merge_runs(spark, d):
 
 
 def two_way_merge(spark, d):
+    """The newest run over all older ones, which are merged first."""
     runs = runs_of(spark, d)
-    own = lambda k: runs.where(F.col("run_id") == k).select("key", "value", "tombstone")
-    return shown(merge.two_way_merge(own(3), own(2)))
+    last = F.lit(runs.agg(F.max("run_id")).first()[0])
+    columns = ("key", "value", "tombstone")
+    return shown(merge.two_way_merge(runs.where(F.col("run_id") == last).select(*columns), merge.merge_runs(runs.where(F.col("run_id") < last)).select(*columns)))
 
 
 def concat_runs(spark, d):
@@ -153,10 +155,16 @@ def bloom_params(spark, d):
 
 
 def bloom_probe(spark, d):
-    """Every key against the run that holds it."""
+    """Every key against the run that holds it, and as many keys that no run holds: of these, few may seem to be there."""
     runs = runs_of(spark, d)
     sizes = runs.groupBy("run_id").agg(F.count("*").alias("n")).withColumns(bloom.shape_columns(F.col("n")))
-    return shown(bloom.probe(runs, bloom.build(runs, sizes), sizes))
+    filters = bloom.build(runs, sizes)
+    absent = bloom.probe(runs.select("run_id", F.concat("key", F.lit(b"?")).alias("key")), filters, sizes)
+    told = bloom.probe(runs, filters, sizes).withColumn("held", F.lit(True)).union(absent.withColumn("held", F.lit(False)))
+    n = lambda held: F.count_if(F.col("held") == held)
+    return told.groupBy("run_id").agg(
+        n(True).alias("held"), F.count_if(F.col("held") & ~F.col("may_contain")).alias("missed"), n(False).alias("absent"), (F.count_if(~F.col("held") & F.col("may_contain")) <= 5 + 0.03 * n(False)).alias("few_false")
+    )
 
 
 def block_index(spark, d):
@@ -228,26 +236,30 @@ def store_ingest(spark, d):
     return shown(store.log())
 
 
+def store_all_deleted(spark, d):
+    """Every key put and then deleted, and merged to the bottom: no run is left, and the store still takes writes."""
+    store = _filled(spark, d, 2, strategy=Strategy.LEVELED, level0_runs=1)
+    gone = store.snapshot().select("key", F.lit(None).cast("binary").alias("value"), F.lit(True).alias("tombstone"))
+    store.ingest(gone, "key")
+    store.compact(Strategy.FULL)
+    kept = store.reopen()
+    left = kept.log().count()
+    return kept.spark.createDataFrame([(left, len(kept.manifest.runs))], "entries long, runs long")
+
+
 def stream_snapshot(spark, d):
-    """The log as a stream of files into a store."""
+    """The log as a stream of files into a store, numbered again in order of seq."""
     from siltstone.streaming.ingest import into_store
 
     store = _scratch_store(spark, pending_batches=2)
-    staged = f"{store.files.root}-source"
-    events_log(spark, d).repartitionByRange(3, "seq").write.parquet(staged)
+    staged, log = f"{store.files.root}-source", events_log(spark, d)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for k in range(3):  # one after the other: the source takes files by age
+        own = log.where((F.col("seq") > last * k // 3) & (F.col("seq") <= last * (k + 1) // 3))
+        own.coalesce(1).write.mode("append").parquet(staged)
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(staged)
-    # files come in no given order, so seqs are kept as they are and the newest wins
-    query = into_store_by_seq(stream, store, f"{store.files.root}-checkpoint")
-    query.awaitTermination()
-    return shown(live(spark.read.schema(LOG).parquet(*[p.path for p in (*store.manifest.runs, *store.manifest.batches)])))
-
-
-def into_store_by_seq(stream: DataFrame, store: Store, checkpoint: str):
-    def one(batch: DataFrame, number: int) -> None:
-        if number > store.manifest.streams.get("files", -1):
-            store._append(batch, f"files:{number}")
-
-    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    into_store(stream, store, "files", f"{store.files.root}-checkpoint", "seq").awaitTermination()
+    return shown(store.snapshot())
 
 
 def tiered_plan(spark, d):
@@ -259,8 +271,8 @@ def tiered_plan(spark, d):
 
 
 def bench_workload(spark, d):
-    """The benchmark's puts and gets, small: all keys distinct, all reads found."""
-    w = workload.Workload(keys=10_000)
+    """The benchmark's puts and gets: all keys distinct, all reads found."""
+    w = workload.Workload()
     log = workload.log(spark, w)
     keys = workload.asked(spark, w)
     answers = reads.multi_get(log, keys).withColumnRenamed("key", "k")
@@ -274,7 +286,7 @@ QUERIES = {
         put_delete_log, kv_snapshot, kv_snapshot_orders, kv_get, kv_multi_get, kv_multi_get_bulk, kv_range_scan, kv_as_of, flush_runs,
         run_manifest, run_prune, merge_runs, two_way_merge, concat_runs, compact_full, compact_stats, level_overlap, level_check,
         level_seek, memtable_size, freeze_by_bytes, bloom_params, bloom_probe, block_index, block_roundtrip, block_large_values, store_snapshot,
-        store_full_compaction, store_tiered_compaction, store_leveled_compaction, store_ingest, stream_snapshot, tiered_plan, bench_workload,
+        store_full_compaction, store_tiered_compaction, store_leveled_compaction, store_ingest, store_all_deleted, stream_snapshot, tiered_plan, bench_workload,
     )
 }
 
@@ -318,7 +330,7 @@ ORACLES = {
     "run_manifest": _LOG + "SELECT * FROM manifest",
     "run_prune": _LOG + "SELECT run_id FROM split GROUP BY run_id HAVING min(k) <= 'user-42' AND max(k) >= 'user-42'",
     "merge_runs": _LOG + "SELECT k, v, tombstone, run_id FROM merged",
-    "two_way_merge": _LOG + "SELECT k, v, tombstone FROM runs WHERE run_id = 3 UNION ALL SELECT k, v, tombstone FROM runs r WHERE run_id = 2 AND NOT EXISTS (SELECT 1 FROM runs x WHERE x.run_id = 3 AND x.k = r.k)",
+    "two_way_merge": _LOG + "SELECT k, v, tombstone FROM merged",
     "concat_runs": _LOG + "SELECT k, v, seq, tombstone, run_id FROM split",
     "compact_full": _LOG + "SELECT k, v FROM merged WHERE NOT tombstone",
     "compact_stats": _LOG + "SELECT (SELECT count(*) FROM runs) AS rows_in, count(*) AS merged, count(*) FILTER (NOT tombstone) AS bottom FROM merged",
@@ -327,7 +339,7 @@ ORACLES = {
     "level_seek": _LOG + "SELECT k, v, seq, tombstone, run_id FROM split WHERE k >= 'user-42'",
     "memtable_size": _LOG + "SELECT run_id, sum(size)::BIGINT AS bytes FROM sized GROUP BY run_id",
     "bloom_params": _LOG + "SELECT run_id, count(*) AS n, 10::BIGINT AS bits_per_key, 7 AS probes, (ceil(greatest(64, 10 * count(*)) / 8.0) * 8)::BIGINT AS bits FROM runs GROUP BY run_id",
-    "bloom_probe": _LOG + "SELECT run_id, k, true AS may_contain FROM runs",
+    "bloom_probe": _LOG + "SELECT run_id, count(*) AS held, 0::BIGINT AS missed, count(*) AS absent, true AS few_false FROM runs GROUP BY run_id",
     "block_roundtrip": _LOG + "SELECT run_id, k, v, tombstone FROM runs",
     "block_large_values": "SELECT doc_id::VARCHAR AS k, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256 FROM documents WHERE length(text) > 0",
     "store_snapshot": _LOG + _SNAPSHOT,
@@ -335,6 +347,7 @@ ORACLES = {
     "store_tiered_compaction": _LOG + _SNAPSHOT,
     "store_leveled_compaction": _LOG + _SNAPSHOT,
     "store_ingest": _LOG + "SELECT k, v, row_number() OVER (ORDER BY seq) AS seq, tombstone FROM L",
+    "store_all_deleted": "SELECT 0::BIGINT AS entries, 0::BIGINT AS runs",
     "stream_snapshot": _LOG + _SNAPSHOT,
-    "bench_workload": "SELECT 10000::BIGINT AS keys, 16 AS key_bytes, 64 AS value_bytes, 5000::BIGINT AS found",
+    "bench_workload": "SELECT 1000000::BIGINT AS keys, 16 AS key_bytes, 64 AS value_bytes, 500000::BIGINT AS found",
 }

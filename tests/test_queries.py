@@ -31,7 +31,7 @@ def test_as_sql(spark, name):
 
 def test_the_rest_has_rows(spark):
     for name in sorted(set(QUERIES) - set(ORACLES)):
-        assert QUERIES[name](spark, SF).columns
+        assert QUERIES[name](spark, SF).count() > 0, name
 
 
 def test_entry(spark):
