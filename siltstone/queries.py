@@ -308,6 +308,39 @@ _LOG = """WITH L AS (
   SELECT *, substr(k, 6, 1)::BIGINT // 4 AS run_id FROM latest
 )
 """
+_RECURSIVE = _LOG.replace("WITH L", "WITH RECURSIVE L", 1).rstrip()
+_FREEZE = """, m AS MATERIALIZED (
+  SELECT seq, size, lag(seq) OVER w AS p, lag(size) OVER w AS p_size FROM (SELECT k, seq, strlen(k) + coalesce(strlen(v), 0) AS size FROM L) WINDOW w AS (PARTITION BY k ORDER BY seq)
+), cuts AS (
+  SELECT -1::BIGINT AS run_id, -1::BIGINT AS first, 0::BIGINT AS last
+  UNION ALL
+  SELECT run_id + 1, last, min(seq) FILTER (total >= 1000) FROM (
+    SELECT c.run_id, c.last, m.seq, sum(m.size - CASE WHEN m.p > c.last THEN m.p_size ELSE 0 END) OVER (ORDER BY m.seq) AS total FROM cuts c JOIN m ON m.seq > c.last
+  ) GROUP BY run_id, last
+)
+SELECT c.run_id, count(*) AS mutations, max(m.seq) AS last_seq FROM cuts c JOIN m ON m.seq > c.first AND m.seq <= coalesce(c.last, 9223372036854775807) WHERE c.run_id >= 0 GROUP BY c.run_id
+"""
+_BLOCKS = """, e AS MATERIALIZED (
+  SELECT run_id, k, row_number() OVER (PARTITION BY run_id ORDER BY k) AS nr, 2 + n + 1 + (n > 127)::INT + (n > 16383)::INT + o + 1 + (o > 127)::INT + (o > 16383)::INT AS more
+  FROM (SELECT run_id, k, strlen(k) AS n, coalesce(strlen(v), 0) AS o FROM runs)
+), b AS (
+  SELECT DISTINCT run_id, -1::INT AS block_id, 0::BIGINT AS first, 0::BIGINT AS last FROM e
+  UNION ALL
+  SELECT run_id, block_id + 1, last, greatest(last + 1, coalesce(max(nr) FILTER (total + 2 <= 4096), 0)) FROM (
+    SELECT b.run_id, b.block_id, b.last, e.nr, sum(e.more) OVER (PARTITION BY b.run_id ORDER BY e.nr) AS total FROM b JOIN e ON e.run_id = b.run_id AND e.nr > b.last
+  ) GROUP BY run_id, block_id, last
+)
+SELECT b.run_id, b.block_id, count(*)::INT AS n_entries, min(e.k) AS first_key, max(e.k) AS last_key FROM b JOIN e ON e.run_id = b.run_id AND e.nr > b.first AND e.nr <= b.last WHERE b.block_id >= 0 GROUP BY ALL
+"""
+_TIERED = """, aged AS (
+  SELECT run_id, greatest(bytes, 1) AS size, row_number() OVER (ORDER BY max_seq, run_id) AS nr FROM manifest
+), stretch AS (
+  SELECT a.nr AS first, e.nr AS last, max(e.size) OVER w <= 2 * min(e.size) OVER w AS ok FROM aged a JOIN aged e ON e.nr >= a.nr WINDOW w AS (PARTITION BY a.nr ORDER BY e.nr)
+), chosen AS (
+  SELECT first, max(last) AS last FROM stretch WHERE ok GROUP BY first HAVING max(last) > first ORDER BY first LIMIT 1
+)
+SELECT run_id, first = 1 AS drop_tombstones FROM aged JOIN chosen ON nr BETWEEN first AND last
+"""
 _ORDERS = """WITH L AS (
   SELECT 'cust-' || o_custkey AS k, CASE WHEN o_orderstatus <> 'F' THEN round(o_totalprice * 100)::BIGINT::VARCHAR END AS v, o_orderkey + 1 AS seq, o_orderstatus = 'F' AS tombstone FROM orders
 ), latest AS (
@@ -338,6 +371,9 @@ ORACLES = {
     "level_check": _LOG + "SELECT 1 AS level, run_id, coalesce(last_key < lead(first_key) OVER (ORDER BY first_key), true) AS ok FROM (SELECT run_id, min(k) AS first_key, max(k) AS last_key FROM split GROUP BY run_id)",
     "level_seek": _LOG + "SELECT k, v, seq, tombstone, run_id FROM split WHERE k >= 'user-42'",
     "memtable_size": _LOG + "SELECT run_id, sum(size)::BIGINT AS bytes FROM sized GROUP BY run_id",
+    "freeze_by_bytes": _RECURSIVE + _FREEZE,
+    "block_index": _RECURSIVE + _BLOCKS,
+    "tiered_plan": _LOG.rstrip() + _TIERED,
     "bloom_params": _LOG + "SELECT run_id, count(*) AS n, 10::BIGINT AS bits_per_key, 7 AS probes, (ceil(greatest(64, 10 * count(*)) / 8.0) * 8)::BIGINT AS bits FROM runs GROUP BY run_id",
     "bloom_probe": _LOG + "SELECT run_id, count(*) AS held, 0::BIGINT AS missed, count(*) AS absent, true AS few_false FROM runs GROUP BY run_id",
     "block_roundtrip": _LOG + "SELECT run_id, k, v, tombstone FROM runs",
