@@ -3,12 +3,14 @@
 `write_archives` writes one gzip member per record into a file per task; of equal payloads of `least` bytes
 or more, the one with the smallest id is kept whole and the others are revisit records that name it.
 `write_index` sorts the captures by their reversed-host key and writes them as compressed blocks of lines,
-with a sparse directory of the blocks' first keys. `lookup` bisects the list of index parts, then the
-directory of a part, and range-reads blocks and records. `read_index` and `read_records` read all back.
+with a sparse directory of the blocks' first keys. `lookup` sorts the keys asked for, bisects the list of
+index parts, then the directory of a part, and range-reads the blocks, each once for neighbouring keys.
+`read_records` range-reads the records; `read_index` reads all captures without a search.
 
 Every file has a name of its own for each attempt of a task, and only files that a finished task returned
 are ever read, so tasks may be run again. Null payloads are empty, a null URL is `-`, a null id is kept as
-null (such a record is always whole); repeated rows of one id are records of their own, all of the same kind.
+null (such a record is always whole); rows that share an id are records of their own, a revisit only where
+id and payload both agree with it. Very long payloads are one member each; ties of key go by id.
 """
 
 from __future__ import annotations
@@ -54,7 +56,13 @@ def _clean(url: str | None) -> str:
 
 
 def _filesystem(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path.replace("file:///", "/", 1) if path.startswith("file:///") else path)
+    """Of a path as Spark has it: `s3a` and `s3n` are S3, `file:/x` is local."""
+    scheme, colon, rest = path.partition(":")
+    if colon and scheme in ("s3a", "s3n"):
+        path = f"s3:{rest}"
+    elif colon and scheme == "file":
+        path = "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(path)
 
 
 def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
@@ -63,7 +71,7 @@ def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, r
     head = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{_ID}{'' if page_id is None else page_id}:{uuid.uuid4().hex}>",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {_clean(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -96,12 +104,13 @@ def write_archives(pages: DataFrame, folder: str, least: int = 100, level: int =
     small = p.select("page_id", F.sha2("payload", 256).alias("digest")).where(F.octet_length("payload") >= least)
     first = small.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last"))
     first = first.where("refers_to != last").drop("last")
-    again = written(small.join(first, "digest").where("page_id != refers_to").select("page_id", "refers_to").distinct())
+    again = written(small.join(first, "digest").where("page_id != refers_to").select("page_id", "digest", "refers_to").distinct())
     n = again.count()
     if n == 0:
         p = p.withColumn("refers_to", F.lit(None).cast("long"))
     else:
-        p = p.join(F.broadcast(again) if n <= MOST_BROADCAST_ROWS else again.hint("shuffle_hash"), "page_id", "left")
+        p = p.withColumn("digest", F.sha2("payload", 256))
+        p = p.join(F.broadcast(again) if n <= MOST_BROADCAST_ROWS else again.hint("shuffle_hash"), ["page_id", "digest"], "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = _filesystem(folder)
@@ -224,7 +233,7 @@ def read_records(captures: DataFrame, payloads: bool = True) -> DataFrame:
 
 def _read(f, capture: dict, payloads: bool) -> tuple:
     warc, http, payload = parse(zlib.decompress(f.read_at(capture["length"], capture["offset"]), 31))
-    own, digest = warc["WARC-Record-ID"][len(_ID) + 1 : -1], warc["WARC-Payload-Digest"].removeprefix("sha256:")
+    own, digest = warc["WARC-Record-ID"][len(_ID) + 1 : -1].partition(":")[0], warc["WARC-Payload-Digest"].removeprefix("sha256:")
     whole = warc["WARC-Type"] == "response"
     if whole and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["Content-Length"])):
         raise ValueError(f"record {own}: its payload isn't what its headers say")
@@ -232,40 +241,78 @@ def _read(f, capture: dict, payloads: bool) -> tuple:
     return (int(own) if own else None, warc["WARC-Target-URI"], warc["WARC-Type"], refers, int(http["Content-Length"]), digest, payload if whole and payloads else None)
 
 
+class _Index:
+    """Parts of an index, opened as they are asked for in order of keys; one part and one block are held."""
+
+    def __init__(self, parts: list[dict]) -> None:
+        self.parts, self.starts = parts, [p["first"] for p in parts]
+        self.part, self.file, self.blocks, self.firsts, self.block, self.lines = -1, None, [], [], -1, {}
+
+    def _open(self, k: int) -> None:
+        if k != self.part:
+            self.close()
+            system, _ = _filesystem(self.parts[k]["blocks"])
+            self.part, self.file, self.blocks, self.block = k, system.open_input_file(self.parts[k]["blocks"]), _blocks(system, self.parts[k]), -1
+            self.firsts = [b[0] for b in self.blocks]
+
+    def _read(self, j: int) -> dict[str, list[dict]]:
+        if j != self.block:
+            self.block, self.lines = j, {}
+            for x in _lines(self.file, *self.blocks[j][1:]):
+                self.lines.setdefault(x["key"], []).append(x)
+        return self.lines
+
+    def find(self, key: str) -> Iterator[dict]:
+        k = max(0, bisect.bisect_left(self.starts, key) - 1)
+        while k < len(self.parts) and self.starts[k] <= key:
+            self._open(k)
+            j = max(0, bisect.bisect_left(self.firsts, key) - 1)
+            while j < len(self.blocks) and self.firsts[j] <= key:
+                yield from self._read(j).get(key, ())
+                j += 1
+            k += 1
+
+    def close(self) -> None:
+        if self.file is not None:
+            self.file.close()
+
+
 def lookup(parts: DataFrame, urls: DataFrame, url: str = "url") -> DataFrame:
-    """The captures of each row of urls: bisects parts (one for each index task), then a directory, then reads blocks.
+    """The captures of the URLs asked for, those of each key once.
 
-    Only the list of parts, which has a row for each task that wrote the index, goes to the executors.
+    Keys are brought into order by ranges, so a task asks few parts, and each block once. Only the list of
+    parts, which has a row for each task that wrote the index, goes to the executors.
     """
     firsts = sorted((r.asDict() for r in parts.collect()), key=lambda r: r["first"])
 
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(sorted({surt(u) for u in batch.column(0).to_pylist()}), pa.string())], ["key"])
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in CAPTURE.split(", ")]
-        starts = [p["first"] for p in firsts]
+        index = _Index(firsts)
         for batch in batches:
             rows = []
-            for key in sorted({surt(u) for u in batch.column(0).to_pylist()}):
-                k = max(0, bisect.bisect_left(starts, key) - 1)
-                while k < len(firsts) and starts[k] <= key:
-                    system, _ = _filesystem(firsts[k]["blocks"])
-                    blocks = _blocks(system, firsts[k])
-                    j = max(0, bisect.bisect_left([b[0] for b in blocks], key) - 1)
-                    with system.open_input_file(firsts[k]["blocks"]) as f:
-                        while j < len(blocks) and blocks[j][0] <= key:
-                            rows += [tuple(x[n] for n in names) for x in _lines(f, *blocks[j][1:]) if x["key"] == key]
-                            j += 1
-                    k += 1
+            for key in batch.column(0).to_pylist():
+                for x in index.find(key):
+                    rows.append(tuple(x[n] for n in names))
+                    if len(rows) == 10_000:
+                        yield _batch(rows, CAPTURE)
+                        rows = []
             yield _batch(rows, CAPTURE)
+        index.close()
 
-    return urls.select(F.col(url).cast("string").alias("url")).mapInArrow(find, CAPTURE)
+    asked = urls.select(F.col(url).cast("string").alias("url")).mapInArrow(keys, "key string").distinct()
+    return asked.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(find, CAPTURE)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op5: writes all pages as WARC records with their index, then reads the archives back through it."""
+    """op5: writes all pages as WARC records with their index, then looks every page's URL up in it and reads its records back."""
     folder = scratch(spark)
-    captures = write_archives(table(spark, sf_dir, "pages"), f"{folder}/archives")
-    parts = write_index(captures, f"{folder}/index")
-    return read_records(read_index(parts), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    parts = write_index(write_archives(pages, f"{folder}/archives"), f"{folder}/index")
+    return read_records(lookup(parts, pages), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

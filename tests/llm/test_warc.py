@@ -63,3 +63,32 @@ def test_damage(store):
         warc.parse(b"HTTP/1.1 200 OK\r\n\r\n")
     with pytest.raises(ValueError):
         warc.parse(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nshort\r\n\r\n")
+
+
+def test_schemes():
+    assert warc._filesystem("file:///tmp/x")[1] == warc._filesystem("file:/tmp/x")[1] == warc._filesystem("/tmp/x")[1] == "/tmp/x"
+    try:
+        system, path = warc._filesystem("s3a://bucket/a/b")
+    except OSError:  # no settings for S3 here
+        return
+    assert system.type_name == "s3" and path == "bucket/a/b"
+
+
+def test_rows_that_share_an_id(spark, tmp_path):
+    """Only the payload that is there twice is revisited, and every record has an id of its own."""
+    rows = [(1, "http://x.y/a", BIG, None), (2, "http://x.y/b", BIG, None), (2, "http://x.y/b", "other" * 30, None), (2, "http://x.y/b", BIG, None)]
+    captures = warc.write_archives(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "a"))
+    parts = warc.write_index(captures, str(tmp_path / "i"))
+    got = sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload_bytes) for r in warc.read_records(warc.lookup(parts, spark.createDataFrame(rows, SCHEMA))).collect())
+    assert got == [(1, "response", 0, 120), (2, "response", 0, 150), (2, "revisit", 1, 120), (2, "revisit", 1, 120)]
+
+
+def test_lookup_of_many_keys_equals_reading_all(spark, tmp_path):
+    rows = [(k, f"http://h{k % 97}.example/{k % 7}", f"page {k}", None) for k in range(3000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    parts = warc.write_index(warc.write_archives(df, str(tmp_path / "a")), str(tmp_path / "i"), lines_a_block=7)
+    plain = lambda x: sorted((r.key, r.page_id, r.file, r.offset) for r in x.collect())
+    assert plain(warc.lookup(parts, df)) == plain(warc.read_index(parts))
+    some = {f"http://h{k}.example/{k}" for k in range(9)} | {"http://none.example/"}
+    got = warc.lookup(parts, spark.createDataFrame([(u,) for u in some] * 2, "url string")).collect()
+    assert sorted(r.page_id for r in got) == [k for k, u, *_ in rows if u in some]
