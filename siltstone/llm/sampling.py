@@ -7,12 +7,14 @@ the same term at the same t with a probability of their generalised Jaccard simi
 weights over the sum of greatest. The least value itself tells term and t, so a fingerprint is the 32-bit
 hashes of these values, and the likeness of two is the share of equal samples.
 
-Texts without words have a fingerprint of zeros: like each other, unlike all else. Null texts are empty.
-Documents come in descending order of id, then of text; null ids are last; repeated rows stay.
+Texts without words have a fingerprint of zeros: like each other, unlike all else. Null texts are empty; very
+long ones are terms like others. Documents come in descending order of id, then of their text's hash and text;
+null ids are last; repeated rows stay. Columns but doc_id and text play no part; an empty table gives none.
 """
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.tables import table
 
 SAMPLES, A_GROUP = 64, 16
-#: Documents of a bucket of neighbouring ids, and the most buckets there are, whatever the input.
-A_BUCKET, MOST_BUCKETS = 512, 1 << 16
+#: Documents of a bucket of neighbours, the most buckets there are, whatever the input, and sampled rows for each.
+A_BUCKET, MOST_BUCKETS, A_BOUND = 512, 1 << 16, 16
 _LN2 = math.log(2)
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -71,28 +73,51 @@ def printed(sig: Column) -> Column:
     return F.array_join(F.transform(sig, lambda x: F.lower(F.right(F.concat(F.lit("0000000"), F.hex(x)), F.lit(8)))), "")
 
 
+def bounds(docs: DataFrame) -> list[tuple[int | None, int]]:
+    """Places (doc_id, hash), descending, that cut docs (doc_id, hash) into buckets of about A_BUCKET rows.
+
+    They are quantiles of a sample of A_BOUND rows for each bucket, so ids may lie as unevenly as they like.
+    """
+    n = docs.count()
+    buckets = min(-(-n // A_BUCKET), MOST_BUCKETS)
+    if buckets < 2:
+        return []
+    order = Window.orderBy(F.col("doc_id").desc_nulls_last(), F.col("hash").desc())  # of the sample: A_BOUND rows for each bucket
+    sample = docs.sample(min(1.0, buckets * A_BOUND / n), 11).withColumn("nr", F.row_number().over(order))
+    places = sample.where(F.col("nr") % A_BOUND == 0).orderBy("nr").collect()
+    return list(dict.fromkeys((r["doc_id"], r["hash"]) for r in places))
+
+
+def bucketed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, hash, ...) with bucket: how many bounds come before the row. Structs with null ids come last."""
+    cuts = bounds(docs.select("doc_id", "hash"))
+    text = json.dumps([{"doc_id": d, "hash": h} for d, h in cuts])
+    one = docs.sparkSession.range(1).select(F.from_json(F.lit(text), "array<struct<doc_id: bigint, hash: bigint>>").alias("bounds"))  # one row, at most MOST_BUCKETS places
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(len(cuts), 1).bit_length()))))
+    ahead = lambda at, step: F.get("bounds", at + step - 1) > F.struct("doc_id", "hash")
+    place = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(ahead(at, step), step).otherwise(0))
+    return docs.crossJoin(F.broadcast(one)).withColumn("bucket", place).drop("bounds")
+
+
 def neighbours(docs: DataFrame) -> DataFrame:
     """(bucket, row, ghost, doc_id, text, next): every document with the text of the next one.
 
-    Ids fall into buckets of equal width, at most MOST_BUCKETS, which the rows are shuffled by once. Each
-    bucket's last row is a ghost, the first document behind it, so that what is next is always beside.
+    Documents fall into buckets of neighbours, which the rows are shuffled by once. Each bucket's last row is
+    a ghost, the first document behind it, so that what is next is always beside.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    buckets = min(max(1, -(-n // A_BUCKET)), MOST_BUCKETS)
-    width = 1 if low is None else -(-(high - low + 1) // buckets)
-    place = F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0).cast("decimal(20,0)")) / F.lit(width).cast("decimal(20,0)"))
-    docs = docs.withColumn("bucket", F.coalesce(place.cast("long"), F.lit(-1)))
-
-    heads = docs.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    same = (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head"))
-    firsts = docs.join(F.broadcast(heads.withColumnRenamed("bucket", "b")), same).groupBy("b", "doc_id").agg(F.max("text").alias("text"))  # at most MOST_BUCKETS + 1 rows
-    order = Window.orderBy(F.col("bucket").desc())
+    docs = bucketed(docs.withColumn("hash", F.xxhash64("text")))
+    heads = docs.groupBy("bucket").agg(F.max(F.struct("doc_id", "hash")).alias("head")).select("bucket", F.col("head.doc_id").alias("head_id"), F.col("head.hash").alias("head_hash"))
+    own = heads.withColumnRenamed("bucket", "b")  # at most MOST_BUCKETS rows
+    same = (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("hash") == F.col("head_hash"))
+    firsts = docs.join(F.broadcast(own), same).groupBy("b", "doc_id", "hash").agg(F.max("text").alias("text"))
+    order = Window.orderBy("bucket")
     links = heads.select("bucket", F.lead("bucket").over(order).alias("b"), F.first("bucket").over(order).alias("top"))
     ghosts = links.select("bucket", F.coalesce("b", "top").alias("b")).join(firsts, "b")
 
-    rows = docs.select("bucket", F.lit(0).alias("ghost"), "doc_id", "text").union(ghosts.select("bucket", F.lit(1), "doc_id", "text"))
-    by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("text").desc())
-    return rows.withColumns({"row": F.row_number().over(by), "next": F.lead("text").over(by)})
+    columns = ("doc_id", "hash", "text")
+    rows = docs.select("bucket", F.lit(0).alias("ghost"), *columns).union(ghosts.select("bucket", F.lit(1), *columns))
+    by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.col("hash").desc(), F.col("text").desc())
+    return rows.withColumns({"row": F.row_number().over(by), "next": F.lead("text").over(by)}).drop("hash")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

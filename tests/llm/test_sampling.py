@@ -1,8 +1,10 @@
 import hashlib
+import math
 import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import sampling
 
@@ -48,7 +50,8 @@ def test_odd_rows(spark, monkeypatch, bucket):
     monkeypatch.setattr(sampling, "A_BUCKET", bucket)
     rows = [(10**15, "é" * 10), (7, "a b c d e f"), (7, "a b c d e f"), (5, None), (4, ""), (-3, "x " * 30_000), (None, "z z z"), (None, "z a z"), (3, "f e d c b a")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, row int")
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    hashed = {t: h for t, h in spark.createDataFrame([(r[1] or "",) for r in rows], "t string").selectExpr("t", "xxhash64(t)").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashed[r[1] or ""], r[1] or ""), reverse=True)
     texts = [t or "" for _, t in order]
     want = sorted((str(d), len(t), hashlib.sha256(e.encode()).hexdigest()) for (d, _), t, e in zip(order, texts, edited(texts), strict=True))
     out = sampling.fingerprints(df).collect()
@@ -65,3 +68,37 @@ def test_odd_rows(spark, monkeypatch, bucket):
 def test_plan_is_native(spark):
     plan = sampling.query(spark, SF)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_buckets_are_even_whatever_the_ids(spark):
+    """Ids in a heap, one far away, and as many null ids: no bucket has many of the rows, and their order is that of the rows."""
+    ids = [*range(4000), 10**15, -(10**15), *[None] * 3000, *[7] * 1000]
+    df = spark.createDataFrame([(d, k * 7919) for k, d in enumerate(ids)], "doc_id long, hash long")
+    rows = sorted(((r.doc_id, r.hash, r.bucket) for r in sampling.bucketed(df).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    buckets = [b for *_, b in rows]
+    assert buckets == sorted(buckets) and len(rows) == len(ids)
+    sizes = Counter(buckets)
+    assert len(sizes) > 10 and max(sizes.values()) < 4 * sampling.A_BUCKET
+
+
+def test_signature_is_the_least_of_plain_values(spark):
+    """A document's samples, worked out term by term from the formula, with the hashes taken from Spark."""
+    counts = Counter("a b c a d a b".split())
+    rows = spark.createDataFrame([(w, n) for w, n in counts.items()], "w string, n int").selectExpr("xxhash64(w) AS term", "n")
+    want = []
+    for group in range(sampling.SAMPLES // sampling.A_GROUP):
+        for j in range(sampling.A_GROUP):
+            hashes = rows.selectExpr("n", f"xxhash64(term, {group}, {2 * j}) AS x", f"xxhash64(term, {group}, {2 * j + 1}) AS y").collect()
+            least = []
+            for n, x, y in hashes:
+                part = lambda h, at, bits: ((h % 2**64) >> at & (1 << bits) - 1) + 0.5
+                r = -math.log(part(x, 0, 21) / 2**21) - math.log(part(x, 21, 21) / 2**21)
+                c = -math.log(part(y, 0, 31) / 2**31) - math.log(part(y, 31, 31) / 2**31)
+                b = part(x, 42, 21) / 2**21
+                least.append(math.log(c) - r * (math.floor(math.log(n) / r + b) - b + 1))
+            want.append(min(least))
+    got = spark.createDataFrame([(1, "a b c a d a b")], "doc_id long, text string")
+    sig = sampling.fingerprints(got).first().sig
+    values = rows.select(*(F.min(sampling.value(F.col("term"), F.lit(g), j, F.ln(F.col("n").cast("double")))) for g in range(4) for j in range(16))).first()
+    assert all(abs(a - b) < 1e-9 for a, b in zip(values, want, strict=True))
+    assert sig == [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("hash(v)").collect()]
