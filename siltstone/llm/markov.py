@@ -9,8 +9,9 @@ Counts of all words are a table (word, n) that grows with the input. The HEAD mo
 number, go to every task; other words of a text are joined with the table. Texts become class numbers once;
 each round of Baum-Welch reads these and adds up expected counts over partitions.
 
-Null and empty texts are one end. Repeated rows and ids are texts of their own; a null id counts as an
-empty one for the split. With no training texts every token has base probability 1 / 1.
+Null and empty texts are one end; long texts walk in stretches and lose nothing by it. Repeated rows and ids are
+texts of their own; a null id counts as an empty one for the split. Words of equal counts are in order of their
+bytes. With no training texts every token has base probability 1 / 1; an empty table has no scores.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ HEAD, STATED, ENDINGS = 400_000, 16_000, 1_024
 STATES, ROUNDS = 8, 4
 #: Words that a task counts before it passes them on, and tokens that walk side by side.
 COUNTED, ABREAST = 500_000, 600_000
+#: Tokens of a stretch: longer texts are cut, and walk side by side with themselves.
+A_STRETCH = 2_048
 _STAY, _PRIOR = 0.9, 1_000.0
 
 
@@ -84,8 +87,11 @@ class Vocabulary(NamedTuple):
         return np.log10(self.class_total + 0.5 * (self.class_distinct + 1))
 
 
-def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
-    """counts: a written table. Only words from a count on that at most HEAD words have come to the driver."""
+def vocabulary(counts: DataFrame, ends: int, stated: int | None = None) -> Vocabulary:
+    """counts: a written table. Only words from a count on that at most HEAD words have come to the driver.
+
+    stated: how many words are classes of their own (STATED if not given); classes are numbers of 16 bits.
+    """
     rank = F.floor(F.log2("n") * 16).cast("int")
     steps = sorted(((r["rank"], r["words"], r["tokens"]) for r in counts.groupBy(rank.alias("rank")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect()), reverse=True)
     least, taken = None, 0
@@ -96,7 +102,7 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     head = counts.where(rank >= least).toArrow() if least is not None else counts.limit(0).toArrow()
     pairs = sorted(zip(head["word"].to_pylist(), head["n"].to_pylist(), strict=True), key=lambda x: (-x[1], x[0]))
     number = {w: k for k, (w, _) in enumerate(pairs)}
-    stated = min(STATED, len(pairs))
+    stated = min(STATED if stated is None else stated, len(pairs), (1 << 16) - ENDINGS - 1)
     kind = np.concatenate([np.arange(1, stated + 1), np.array([stated + 1 + ending(w) for w, _ in pairs[stated:]], int)]).astype(np.int32)
     count = np.array([n for _, n in pairs], np.int64)
 
@@ -156,20 +162,40 @@ class Hmm(NamedTuple):
 
 
 class Walk:
-    """Sequences side by side, the longest first; everything is by time and then sequence."""
+    """Stretches side by side, the longest first; everything is by time and then stretch.
+
+    before: state probabilities at each stretch's first token, from what comes before it.
+    """
 
-    def __init__(self, sequences: list[np.ndarray]) -> None:
-        size = np.array([len(s) for s in sequences])
+    def __init__(self, stretches: list[np.ndarray], before: np.ndarray) -> None:
+        size = np.array([len(s) for s in stretches])
         self.order = np.argsort(-size, kind="stable")
+        self.before = before[self.order]
         size = size[self.order]
         self.live = (len(size) - np.searchsorted(size[::-1], np.arange(int(size[0])), "right")).tolist()
         self.at = np.concatenate([[0], np.cumsum(self.live)]).tolist()
-        first = np.concatenate([[0], np.cumsum([len(s) for s in sequences])])[:-1][self.order]
-        flat = np.concatenate(sequences)
+        first = np.concatenate([[0], np.cumsum([len(s) for s in stretches])])[:-1][self.order]
+        flat = np.concatenate(stretches)
         self.kinds = np.empty(len(flat), np.int32)
         for t, n in enumerate(self.live):
             self.kinds[self.at[t] : self.at[t] + n] = flat[first[:n] + t]
 
+    def given_order(self, x: np.ndarray) -> np.ndarray:
+        back = np.empty_like(x)
+        back[self.order] = x
+        return back
+
+    def products(self, m: Hmm) -> np.ndarray:
+        """Of each stretch, the matrix that takes state probabilities before its first token to those at its last, up to a factor."""
+        emit, out = m.emit[self.kinds], np.empty((len(self.order), *m.move.shape))
+        k = None
+        for t, n in enumerate(self.live):
+            e = emit[self.at[t] : self.at[t] + n]
+            k = e[:, None, :] * (np.eye(len(m.move)) if k is None else k[:n] @ m.move)
+            k /= k.sum(axis=(1, 2), keepdims=True)
+            out[:n] = k
+        return self.given_order(out)
+
     def forward(self, m: Hmm, keep: bool) -> tuple[np.ndarray, np.ndarray | None, np.ndarray, np.ndarray]:
         """log10 likelihoods, state probabilities given the past, scales, emissions."""
         emit = m.emit[self.kinds]
@@ -178,7 +204,7 @@ class Walk:
         a = None
         for t, n in enumerate(self.live):
             lo = self.at[t]
-            a = (m.start if a is None else a[:n] @ m.move) * emit[lo : lo + n]
+            a = (self.before if a is None else a[:n] @ m.move) * emit[lo : lo + n]
             c = scale[lo : lo + n] = a.sum(axis=1)
             a /= c[:, None]
             if keep:
@@ -186,27 +212,87 @@ class Walk:
         logs, out = np.log10(scale), np.zeros(len(self.order))
         for t, n in enumerate(self.live):
             out[:n] += logs[self.at[t] : self.at[t] + n]
-        back = np.empty_like(out)
-        back[self.order] = out
-        return back, past, scale, emit
+        return self.given_order(out), past, scale, emit
+
+    def expected(self, m: Hmm, behind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Moves, emissions, log10 likelihoods, states at the first token, and what the first token and all behind it say of the state there.
 
-    def expected(self, m: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Expected starts, moves and emissions, and the log10 likelihood."""
+        behind: up to a factor, what follows each stretch says of the state at its last token.
+        """
         logs, state, scale, emit = self.forward(m, True)
+        behind = behind[self.order]
         emit /= scale[:, None]
         moves = np.zeros_like(m.move)
-        ahead = None
+        ahead, later = None, 0
         for t in range(len(self.live) - 1, -1, -1):
             lo, n = self.at[t], self.live[t]
-            future = np.ones((n, len(m.start)))
+            future = np.empty((n, len(m.start)))
+            last = state[lo + later : lo + n]  # stretches that end here
+            future[later:] = behind[later:n] / np.maximum((last * behind[later:n]).sum(axis=1, keepdims=True), 1e-300)
             if ahead is not None:
-                k = len(ahead)
-                moves += state[lo : lo + k].T @ ahead
-                future[:k] = ahead @ m.move.T
-            ahead = emit[lo : lo + n] * future
+                moves += state[lo : lo + later].T @ ahead
+                future[:later] = ahead @ m.move.T
+            ahead, later = emit[lo : lo + n] * future, n
             state[lo : lo + n] *= future
         emissions = np.stack([np.bincount(self.kinds, state[:, k], len(m.emit)) for k in range(len(m.start))], axis=1)
-        return state[: self.live[0]].sum(axis=0), moves * m.move, emissions, float(logs.sum())
+        return moves * m.move, emissions, logs, self.given_order(state[: self.live[0]]), self.given_order(ahead)
+
+
+class Stretches:
+    """Sequences cut into stretches of at most A_STRETCH tokens, so that a long one walks side by side with itself.
+
+    The matrix of each stretch of a long sequence says how it takes states before it to states at its end; from
+    these follow what comes before and behind each stretch, and then all stretches are alike. Nothing is lost.
+    """
+
+    def __init__(self, m: Hmm, rows: list[np.ndarray]) -> None:
+        self.m, self.n, states = m, len(rows), len(m.start)
+        self.parts = [x[k : k + A_STRETCH] for x in rows for k in range(0, len(x), A_STRETCH)]
+        many = np.array([-(-len(x) // A_STRETCH) for x in rows])
+        self.row = np.repeat(np.arange(len(rows)), many)
+        self.first = np.concatenate([[0], np.cumsum(many)])[:-1]
+        self.before, self.behind = np.tile(m.start, (len(self.parts), 1)), np.ones((len(self.parts), states))
+        self.end_before = np.zeros((len(self.parts), states))  # states at the end of the stretch before
+        long = np.flatnonzero(many > 1)
+        inner = [k for r in long.tolist() for k in range(self.first[r], self.first[r] + many[r])]
+        product = {}
+        for group in together([self.parts[k] for k in inner]):
+            own = [inner[g] for g in group]
+            product |= dict(zip(own, Walk([self.parts[k] for k in own], self.before[own]).products(m), strict=True))
+        for r in long.tolist():
+            lo, hi = int(self.first[r]), int(self.first[r] + many[r])
+            for k in range(lo, hi - 1):
+                end = self.before[k] @ product[k]
+                self.end_before[k + 1] = end / end.sum()
+                self.before[k + 1] = self.end_before[k + 1] @ m.move
+            for k in range(hi - 1, lo, -1):
+                back = m.move @ (product[k] @ self.behind[k])
+                self.behind[k - 1] = back / back.sum()
+
+    def groups(self) -> Iterator[tuple[list[int], Walk]]:
+        for group in together(self.parts):
+            yield group, Walk([self.parts[k] for k in group], self.before[group])
+
+    def likelihoods(self) -> np.ndarray:
+        """log10 of each sequence."""
+        out = np.zeros(self.n)
+        for group, walk in self.groups():
+            np.add.at(out, self.row[group], walk.forward(self.m, False)[0])
+        return out
+
+    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Expected starts, moves and emissions, and the log10 likelihood of all."""
+        start, moves, emissions, log = np.zeros_like(self.m.start), np.zeros_like(self.m.move), np.zeros_like(self.m.emit), 0.0
+        begins = np.zeros(len(self.parts), bool)
+        begins[self.first] = True
+        for group, walk in self.groups():
+            move, emit, logs, state, ahead = walk.expected(self.m, self.behind[group])
+            opening = begins[group]
+            start += state[opening].sum(axis=0)
+            moves += move + (self.end_before[group][~opening].T @ ahead[~opening]) * self.m.move
+            emissions += emit
+            log += float(logs.sum())
+        return start, moves, emissions, log
 
 
 def together(rows: list[np.ndarray]) -> Iterator[list[int]]:
@@ -251,13 +337,11 @@ def baum_welch(rows: DataFrame, v: Vocabulary, states: int = STATES, rounds: int
             m = shared.value
             total = np.zeros((2 + states + len(m.emit), states))
             for batch in batches:
-                own = sequences(batch, 0)
-                for group in together(own):
-                    start, move, emit, log = Walk([own[k] for k in group]).expected(m)
-                    total[0, 0] += log
-                    total[1] += start
-                    total[2 : 2 + states] += move
-                    total[2 + states :] += emit
+                start, move, emit, log = Stretches(m, sequences(batch, 0)).expected()
+                total[0, 0] += log
+                total[1] += start
+                total[2 : 2 + states] += move
+                total[2 + states :] += emit
             some = np.flatnonzero(total.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *(pa.array(total[some, k]) for k in range(states))], ["row", *(f"s{k}" for k in range(states))])
 
@@ -271,12 +355,12 @@ def baum_welch(rows: DataFrame, v: Vocabulary, states: int = STATES, rounds: int
     return m, logs
 
 
-def score_all(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
-    """docs: (doc_id, text, held_out); learns from rows not held out and scores all."""
+def score_all(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, stated: int | None = None) -> DataFrame:
+    """docs: (doc_id, text, held_out); learns from rows not held out and scores all. Other columns play no part."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out")
     learn = docs.where("NOT held_out")
     counts = written(count_words(learn.select("text")))
-    v = vocabulary(counts, learn.count())
+    v = vocabulary(counts, learn.count(), stated)
     rows = written(numbered(docs, v).withColumn("row", F.monotonically_increasing_id()))
     m, _ = baum_welch(rows.where("NOT held_out"), v, states, rounds)
 
@@ -286,9 +370,7 @@ def score_all(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, out = sequences(batch, 1), np.zeros(batch.num_rows)
-            for group in together(own):
-                out[group] = Walk([own[k] for k in group]).forward(shared.value, False)[0]
+            out = Stretches(shared.value, sequences(batch, 1)).likelihoods()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["row", "log_kinds"])
 
     likely = rows.select("row", "kinds").mapInArrow(run, "row long, log_kinds double")

@@ -1,6 +1,7 @@
 import itertools
 import math
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -22,10 +23,13 @@ def small(seed, kinds=6, states=3):
     return markov.Hmm(m[0] / m[0].sum(), m[1] / m[1].sum(axis=1, keepdims=True), m[2] / m[2].sum(axis=0))
 
 
-def test_forward_and_expected_counts_against_all_paths():
+@pytest.mark.parametrize(("stretch", "abreast"), [(2048, 10**6), (2, 10**6), (2, 3), (1, 10**6)])
+def test_forward_and_expected_counts_against_all_paths(monkeypatch, stretch, abreast):
+    monkeypatch.setattr(markov, "A_STRETCH", stretch)
+    monkeypatch.setattr(markov, "ABREAST", abreast)
     m = small(1)
     sequences = [np.array(s) for s in ([1, 2, 5, 0], [3], [4, 4], [1, 2, 5, 0], [0, 1, 2, 3, 4])]
-    logs = markov.Walk(sequences).forward(m, False)[0]
+    logs = markov.Stretches(m, sequences).likelihoods()
     start, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((6, 3))
     for s, log in zip(sequences, logs, strict=True):
         paths = {}
@@ -39,7 +43,8 @@ def test_forward_and_expected_counts_against_all_paths():
                 moves[a, b] += x / total
             for k, q in zip(s, p):
                 emits[k, q] += x / total
-    got = markov.Walk(sequences).expected(m)
+    got = markov.Stretches(m, sequences).expected()
+    assert got[3] == pytest.approx(logs.sum())
     assert np.allclose(got[0], start) and np.allclose(got[1], moves) and np.allclose(got[2], emits)
 
 
@@ -87,3 +92,42 @@ def test_odd_rows(spark):
     none = markov.score_all(df.where("held_out")).collect()
     assert all(abs(r.base_score) < 1e-6 and r.train_tokens == 0 for r in none) and len(none) == 2
     assert markov.score_all(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text_is_quick_and_exact(monkeypatch):
+    m = small(2)
+    long = np.random.default_rng(0).integers(0, 6, 1_000_000)
+    began = time.process_time()
+    counts = markov.Stretches(m, [long, long[:10]]).expected()
+    assert time.process_time() - began < 20
+    assert counts[1].sum() == pytest.approx(999_999 + 9) and counts[2].sum() == pytest.approx(1_000_010)
+    part = long[:5000]
+    cut = markov.Stretches(m, [part])
+    monkeypatch.setattr(markov, "A_STRETCH", 10_000)
+    whole = markov.Stretches(m, [part])
+    assert cut.likelihoods()[0] == pytest.approx(whole.likelihoods()[0], rel=1e-12)
+    assert all(np.allclose(a, b) for a, b in zip(cut.expected(), whole.expected(), strict=True))
+
+
+def test_scores_end_to_end(spark):
+    """Each text's score from the model's own tables, word by word and state by state."""
+    docs = spark.createDataFrame([(k, "the cat sat on the mat the end cat " * (k % 3 + 1) + f"rare{k}", k % 4 == 3) for k in range(16)], "doc_id long, text string, held_out boolean")
+    learn = docs.where("NOT held_out")
+    counts = markov.written(markov.count_words(learn.select("text")))
+    v = markov.vocabulary(counts, learn.count(), 3)
+    rows = markov.written(markov.numbered(docs, v).selectExpr("*", "doc_id AS row"))
+    m, _ = markov.baum_welch(rows.where("NOT held_out"), v, rounds=2)
+    known = {bytes(r.word): r.n for r in counts.collect()}
+    stated = {w: int(v.kind[k]) for w, k in v.number.items() if v.kind[k] <= 3}
+    got = {r.doc_id: r.score for r in markov.score_all(docs, rounds=2, stated=3).collect()}
+    for r in docs.collect():
+        a, total = m.start, 0.0
+        for k, w in enumerate([*r.text.encode().split(), None]):
+            c = 0 if w is None else stated.get(w, 4 + markov.ending(w))
+            a = (a if k == 0 else a @ m.move) * m.emit[c]
+            total += math.log10(a.sum())
+            a = a / a.sum()
+            if c > 3:
+                own = c - 4
+                total += math.log10((known.get(w, 0) + 0.5) / (v.class_total[own] + 0.5 * (v.class_distinct[own] + 1)))
+        assert got[r.doc_id] == pytest.approx(total)
