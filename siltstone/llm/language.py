@@ -6,8 +6,11 @@ maximisation estimates how much of a document's words each language has, and lan
 by one, the most frequent first, as long as the likelihood gains more than PENALTY * log(words + 1) for
 each. The prediction is the largest proportion in the set.
 
-Null texts and texts without a letter are `und`, score 0, and so is every text if nothing was learned.
-Texts whose language is null teach nothing. Equal proportions go to the first language in order of name.
+Null and empty texts and texts without a letter are `und`, score 0, and so is every text if nothing was learned;
+an empty table has no rows. Texts whose language is null teach nothing. Equal proportions go to the first
+language in order of name. A text of more than A_PIECE likelihoods is read in pieces, once for each round, so
+memory doesn't grow with it; an unbroken run of letters longer than a piece counts as several words. Repeated
+rows are rows of their own. Columns that are kept may have any name but those that are added.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ from siltstone.llm.text import chunks
 
 BUCKETS = 1 << 16
 SMOOTHING, PENALTY, ROUNDS = 0.1, 2.0, 8
+#: Numbers (bytes times languages) that one piece of texts takes at most.
+A_PIECE = 1 << 21
 UNDETERMINED = "und"
 _FOLD = np.full(256, 32, np.int32)
 _FOLD[97:123] = np.arange(97, 123)
@@ -64,12 +69,13 @@ def train(docs: DataFrame) -> Model:
             lang = batch.column(1)
             for name in lang.unique().to_pylist():
                 own = counts.setdefault(name, np.zeros(BUCKETS, np.int64))
-                for _, _, data, offsets in chunks(batch.column(0).filter(pa.compute.equal(lang, name))):
-                    h, first, end, _ = trigrams(data, offsets)
-                    inside = np.zeros(len(h) + 1, np.int8)
-                    np.add.at(inside, first, 1)
-                    np.add.at(inside, end, -1)
-                    own += np.bincount(h[np.cumsum(inside)[:-1] > 0], minlength=BUCKETS)
+                for _, _, data, offsets in chunks(batch.column(0).filter(pa.compute.equal(lang, name)), A_PIECE):
+                    for a, b in cuts(data, A_PIECE) if len(data) > A_PIECE else [(0, len(data))]:
+                        h, first, end, _ = trigrams(data[a:b], np.array([0, b - a]) if len(data) > A_PIECE else offsets)
+                        inside = np.zeros(len(h) + 1, np.int8)
+                        np.add.at(inside, first, 1)
+                        np.add.at(inside, end, -1)
+                        own += np.bincount(h[np.cumsum(inside)[:-1] > 0], minlength=BUCKETS)
         for name, own in counts.items():
             some = np.flatnonzero(own)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(some), pa.string()), pa.array(some), pa.array(own[some])], ["lang", "bucket", "n"])
@@ -103,6 +109,16 @@ def mixture(p: np.ndarray, first: np.ndarray, size: np.ndarray, allowed: np.ndar
     return share, np.add.reduceat(np.log(np.maximum(q, 1e-300)), first)
 
 
+def headroom(p: np.ndarray, first: np.ndarray, size: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """How far each row's log-likelihood can still rise above that of share, whatever the proportions.
+
+    It is concave in them: at most size * log(max over languages of the mean of p / q).
+    """
+    q = (p * np.repeat(share, size, axis=0)).sum(axis=1, keepdims=True)
+    mean = np.add.reduceat(p / np.maximum(q, 1e-300), first, axis=0) / size[:, None]
+    return size * np.log(np.maximum(mean.max(axis=1), 1.0))
+
+
 def infer(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Proportions of each row (0 outside its set; all 0 without words), and how sure the best language is."""
     word, of_row = word_likelihoods(model, data, offsets)
@@ -122,7 +138,7 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     chosen = np.zeros((len(rows), many))
     chosen[np.arange(len(rows)), best] = 1
     gained, price = single.max(axis=1), PENALTY * np.log(size + 1)
-    open_rows = np.flatnonzero(bound - gained > price)  # for the others no set gains enough
+    open_rows = np.flatnonzero(bound + headroom(p, first, size, share) - gained > price)  # for the others no set gains enough
     for k in range(2, many + 1):
         if not len(open_rows):
             break
@@ -140,22 +156,87 @@ def infer(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarr
     return shares, sure
 
 
+def cuts(data: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Pieces of at most `most` bytes, cut behind a byte that is no letter where there is one."""
+    at, n = 0, len(data)
+    while at < n:
+        end = min(at + most, n)
+        if end < n:
+            blank = np.flatnonzero(_FOLD[data[at:end]] == 32)
+            end = at + int(blank[-1]) + 1 if len(blank) else end
+        yield at, end
+        at = end
+
+
+def infer_long(model: Model, data: np.ndarray, most: int) -> tuple[np.ndarray, float]:
+    """As `infer` for one text, which is read in pieces of `most` bytes, once for each round."""
+    many = len(model.languages)
+
+    def pieces() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in cuts(data, most):
+            word, _ = word_likelihoods(model, data[a:b], np.array([0, b - a]))
+            if len(word):
+                own = word - word.max(axis=1, keepdims=True)
+                yield own, np.exp(own)
+
+    single, n = np.zeros(many), 0
+    for own, p in pieces():
+        single += own.sum(axis=0)
+        n += len(p)
+    if not n:
+        return np.zeros(many), 0.0
+
+    def mix(allowed: np.ndarray) -> tuple[np.ndarray, float, float]:
+        """Proportions, log-likelihood, and how far it can still rise."""
+        share = allowed / allowed.sum()
+        for last in [False] * ROUNDS + [True]:
+            total, fit = np.zeros(many), 0.0
+            for _, p in pieces():
+                q = np.maximum(p @ share, 1e-300)
+                total += (p / q[:, None]).sum(axis=0)
+                fit += np.log(q).sum()
+            if not last:
+                share = share * total / n
+        return share, fit, n * np.log(max(total.max() / n, 1.0))
+
+    share, bound, more = mix(np.ones(many))
+    order, price = np.argsort(-share, kind="stable"), PENALTY * np.log(n + 1)
+    best, gained = np.zeros(many), single.max()
+    best[single.argmax()] = 1
+    if bound + more - gained > price:
+        for k in range(2, many + 1):
+            allowed = np.zeros(many)
+            allowed[order[:k]] = 1
+            got, fit, _ = mix(allowed)
+            if fit - gained <= price:
+                break
+            best, gained = got, fit
+    return best, float(1 / np.exp(single - single.max()).sum())
+
+
 def identify(docs: DataFrame, model: Model, *keep: Column | str, text: str = "text") -> DataFrame:
     """The columns keep, lang_pred, score, and languages: (lang, share) of the set, the largest share first. No shuffle."""
-    own = docs.select(*keep, F.col(text).cast("string").alias("_text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
+    kept = docs.select(*keep)
+    inner = F.struct(F.col(text).cast("string").alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("letters"))
+    own = docs.select(*keep, inner.alias("said"))  # the last column, read by its place
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers for each language
     kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
     added = ["lang_pred", "score", "languages"]
-    schema = own.drop("_text", "_letters").schema.add("lang_pred", "string").add("score", "double").add("languages", _SET)
+    schema = T.StructType(kept.schema.fields).add("lang_pred", "string").add("score", "double").add("languages", _SET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
             n = batch.num_rows
-            letters = batch.column(batch.num_columns - 1).to_pylist()
+            said, letters = (batch.column(batch.num_columns - 1).field(k) for k in range(2))
+            letters = letters.to_pylist()
             names, scores, sets = [UNDETERMINED] * n, [0.0] * n, [[] for _ in range(n)]
-            for lo, hi, data, offsets in chunks(batch.column(batch.num_columns - 2), (1 << 21) // max(len(m.languages), 1)) if m.languages else ():
-                shares, sure = infer(m, data, offsets)
+            most = max(A_PIECE // max(len(m.languages), 1), 1)
+            for lo, hi, data, offsets in chunks(said, most) if m.languages else ():
+                if len(data) > most:
+                    shares, sure = (np.array([x]) for x in infer_long(m, data, most))
+                else:
+                    shares, sure = infer(m, data, offsets)
                 best, value = shares.argmax(axis=1), shares.max(axis=1)
                 for r in range(hi - lo):
                     if letters[lo + r] and value[r] > 0:
@@ -163,7 +244,7 @@ def identify(docs: DataFrame, model: Model, *keep: Column | str, text: str = "te
                         scores[lo + r] = float(value[r] * sure[r]) if value[r] == 1 else float(value[r])
                         some = np.flatnonzero(shares[r] > 0)
                         sets[lo + r] = [{"lang": m.languages[k], "share": float(shares[r, k])} for k in some[np.argsort(-shares[r, some], kind="stable")]]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(names), pa.array(scores), pa.array(sets, kind)], [*batch.schema.names[:-2], *added])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(names), pa.array(scores), pa.array(sets, kind)], [*batch.schema.names[:-1], *added])
 
     return own.mapInArrow(run, schema)
 
