@@ -26,7 +26,7 @@ def test_against_plain_version(spark):
     rows = {r.doc_id: r for r in docs.collect()}
 
     def score(text):
-        return max(toxicity.probabilities(model, s)[0][0] for s in toxicity.sentences(pa.array([text])))
+        return max(p[0] for _, p, _ in toxicity.scored(model, pa.array([text])))
 
     kept = [(k, r.text) for k, r in rows.items() if score(r.text) < toxicity.CUTOFF]
     groups = brute.near_duplicates(kept, 5)
@@ -53,15 +53,25 @@ def test_against_plain_version(spark):
 
 
 def test_odd_rows(spark):
-    """Null ids and texts, repeated ids and rows, and a column more."""
-    text = " ".join(f"word{k}" for k in range(60))
-    rows = [(1, text, None, None, None, 0), (1, text, None, None, None, 0), (2, text, "en", "s", 3, 1), (3, None, None, None, None, 2), (None, text, None, None, None, 3), (4, "", None, None, None, 4)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids int")
+    """Null ids and texts, repeated ids and rows, and columns more whose names the stages use themselves."""
+    text, other = (" ".join(f"{w}{k}" for k in range(60)) for w in ("word", "else"))
+    rows = [(1, text, 0), (1, text, 0), (2, text, 1), (3, None, 2), (None, text, 3), (4, "", 4), (5, other, 5), (5, other + " " + other[::-1], 6), (None, "short one", 7), (None, None, 8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 3, k, k, k, k) for i, t, k in rows], "doc_id long, text string, lang string, source string, n_chars long, ids int, row int, _row int, component int")
+    names = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         if name != "pieces":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "ids"]
-    assert sorted((r.doc_id is None, r.doc_id or 0, len(r.ids)) for r in docs.collect()) == sorted([(False, 1, r_len(text)), (False, 3, 0), (False, 4, 0), (True, 0, r_len(text))])
+            assert docs.columns == names
+    got = sorted((r.doc_id or 0, r.row if r.doc_id != 1 else 0, len(r.ids)) for r in docs.collect())
+    want = [(1, 0, r_len(text)), (3, 2, 0), (4, 4, 0), (5, 5, r_len(other)), (5, 6, r_len(other + " " + other[::-1])), (0, 7, r_len("short one")), (0, 8, 0)]
+    assert got == sorted(want)
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        assert docs.count() == 0
 
 
 def r_len(text):
