@@ -3,16 +3,18 @@
 Words are runs of letters and digits in lower case. A text's shingles are its five-word sequences, each
 weighing as many as it has different words; an item of fewer words is one shingle. For each item, the
 windows of its size in a document get a 64-bit SimHash of their weighted shingles. Fingerprints fall into
-eight blocks of eight bits: two within RADIUS bits differ in at most RADIUS // 8 bits of some block, so a
-table of the items near each value of each block finds all within the radius. At the similarity of 0.8
-asked for, 9.7 of 64 bits differ on average and more than 23 in two windows of a million. Candidates are
-confirmed by their weighted shingles: sum of least weights over sum of greatest.
+eight blocks of eight bits: two within RADIUS bits differ in at most RADIUS // 8 bits of some block, so
+looking a window's blocks up in the items' tables of near values finds all within the radius. At the
+similarity of 0.8 asked for, 9.7 of 64 bits differ on average and more than 23 in two windows of a million.
+Candidates are confirmed by their weighted shingles: sum of least weights over sum of greatest.
 
 Before windows are formed, two exact bounds apply: a window without any of an item's shingles has
-similarity 0, and the item's shingles in the whole document must weigh 0.8 of the item.
+similarity 0, and the item's shingles in the whole document must weigh 0.8 of the item. Windows are
+fingerprinted and looked up some thousand at a time, so memory is that of the text itself.
 
-Items come in blocks of bounded size and every block is held against all documents. Null and empty
-items and texts match nothing; equal items all match; rows of equal ids are held apart only by text.
+Items come in blocks of bounded size (one block, unless there are BLOCK_BYTES of them) and every block is held
+against all documents. Null and empty items and texts match nothing; equal items all match; of windows that tie
+the first counts; rows of equal or null ids are rows of their own. Without items nothing matches.
 """
 
 from __future__ import annotations
@@ -29,7 +31,9 @@ from siltstone.llm.text import PUNCTUATION, U, Words, grams, words
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 #: Bounds of one block of items, which goes to every task.
-BLOCK_ITEMS, BLOCK_BYTES = 2_000, 8 << 20
+BLOCK_ITEMS, BLOCK_BYTES = 50_000, 8 << 20
+#: Windows and items that are looked up at once, and the stretch of words that windows fingerprinted at once span.
+WINDOWS, ITEMS, SPAN = 4_096, 256, 16_384
 _FILTER = 1 << 22
 _POPCOUNT = np.array([bin(x).count("1") for x in range(256)], np.uint8)
 
@@ -59,46 +63,48 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str | None]]) -> None:
         column = pa.array([t for _, t in items], pa.string())
-        self.ids, self.size, self.total, self.shingles, prints, every, of = [], [], [], [], [], [], []
+        ids, size, prints, keys, counts, of = [], [], [], [], [], []
         for w in words(column, PUNCTUATION):
             for r in range(len(w.first) - 1):
                 h = w.hash[w.first[r] : w.first[r + 1]]
                 if not len(h):
                     continue
                 n = min(SHINGLE, len(h))
-                g, weight = grams(h, n), weights(h, n)
-                if n < SHINGLE:
-                    g = g ^ U(n)
-                k = len(self.ids)
-                self.ids.append(items[w.lo + r][0])
-                self.size.append(len(h))
-                self.total.append(int(weight.sum()))
-                self.shingles.append(counted(g, weight))
+                g, weight = shingles(h, n)
+                key, count = counted(g, weight)
+                of.append(np.full(len(key), len(ids), np.int32))
+                ids.append(items[w.lo + r][0])
+                size.append(len(h))
                 prints.append(simhash(g, weight, np.zeros(1, int), len(g))[0])
-                every.append(np.unique(g))
-                of.append(np.full(len(every[-1]), k))
-        self.prints = np.array(prints, np.uint8).reshape(-1, 8)
-        key, item = (np.concatenate(every), np.concatenate(of)) if every else (np.zeros(0, U), np.zeros(0, int))
-        order = np.argsort(key, kind="stable")
-        self.key, self.item = key[order], item[order]
+                keys.append(key)
+                counts.append(count)
+        self.ids, self.size, self.prints = ids, np.array(size, np.int64), np.array(prints, np.uint8).reshape(-1, 8)
+        self.keys, self.counts = (np.concatenate(x) if x else np.zeros(0, U) for x in (keys, counts))
+        self.at = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int64)
+        self.total = np.add.reduceat(self.counts, self.at[:-1]) if ids else np.zeros(0, np.int64)
+        order = np.argsort(self.keys, kind="stable")
+        self.key, self.item = self.keys[order], (np.concatenate(of) if of else np.zeros(0, np.int32))[order]
         self.filter = np.zeros(_FILTER, bool)
         self.filter[self.key & U(_FILTER - 1)] = True
-        self.orders = sorted({min(SHINGLE, s) for s in self.size})
-        near = _POPCOUNT[np.arange(256)[:, None, None] ^ self.prints[None].astype(int)] <= RADIUS // 8
-        self.near = np.packbits(near, axis=1)  # value of a block, eight items, block
-
-    def candidates(self, prints: np.ndarray, items: np.ndarray) -> list[tuple[int, int]]:
-        """(row of prints, item) of all within the radius, of the given items."""
-        found = np.zeros((len(prints), self.near.shape[1]), np.uint8)
-        for b in range(8):
-            found |= self.near[prints[:, b], :, b]
-        row, item = np.nonzero(np.unpackbits(found, axis=1)[:, : len(self.ids)][:, items])
-        item = items[item]
-        apart = _POPCOUNT[prints[row] ^ self.prints[item]].sum(axis=1)
-        return list(zip(row[apart <= RADIUS].tolist(), item[apart <= RADIUS].tolist(), strict=True))
-
-    def hits(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-        """Per row that has shingles of items: row, its words' hashes, positions, keys and shingle length."""
+        self.orders = sorted({min(SHINGLE, s) for s in size})
+        near = [np.packbits(_POPCOUNT[np.arange(256) ^ self.prints[:, b, None]] <= RADIUS // 8, axis=1) for b in range(8)]
+        self.near = np.stack(near)  # block, item, values as bits
+
+    def candidates(self, prints: np.ndarray, items: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(item, rows of prints within the radius, ascending) of the given items."""
+        for k in range(0, len(items), ITEMS):
+            own = items[k : k + ITEMS]
+            found = np.zeros((len(own), len(prints)), bool)
+            for b in range(8):
+                found |= np.unpackbits(self.near[b][own], axis=1).view(bool)[:, prints[:, b]]
+            for i, rows in zip(own.tolist(), found, strict=True):
+                at = np.flatnonzero(rows)
+                at = at[_POPCOUNT[prints[at] ^ self.prints[i]].sum(axis=1) <= RADIUS]
+                if len(at):
+                    yield i, at
+
+    def hits(self, w: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
+        """Per row that has shingles of items: row, its words' hashes, positions and keys of those shingles, their length."""
         for n in self.orders:
             g = grams(w.hash, n)
             if n < SHINGLE:
@@ -112,37 +118,76 @@ class Index:
             at, row = at[inside], row[inside]
             for r, a, b in zip(*_runs(row), strict=True):
                 first, last = w.first[r], w.first[r + 1]
-                yield int(r), w.hash[first:last], at[a:b] - first, g[first : last - n + 1], g[at[a:b]], n
+                yield int(r), w.hash[first:last], at[a:b] - first, g[at[a:b]], n
+
+    def search(self, g: np.ndarray, weight: np.ndarray, first: np.ndarray, size: int, items: np.ndarray, held: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> dict[int, tuple[float, int]]:
+        """Of each item found: its best similarity to the windows of `size` shingles at `first`, and the first window that has it.
+
+        held: positions of an item's shingles and the sums of their weights up to each; they bound similarities.
+        """
+        best: dict[int, tuple[float, int]] = {}
+        total = np.concatenate([[0], np.cumsum(weight, dtype=np.int64)])
+        k = 0
+        while k < len(first) and len(items):
+            end = min(k + WINDOWS, int(np.searchsorted(first, first[k] + SPAN)))
+            own, base = first[k:end], int(first[k])
+            stop = int(own[-1]) + size
+            prints = simhash(g[base:stop], weight[base:stop], own - base, size)
+            for i, rows in self.candidates(prints, items):
+                if held is not None:
+                    at, sums = held[i]
+                    begin = own[rows]
+                    both = np.minimum(sums[np.searchsorted(at, begin + size)] - sums[np.searchsorted(at, begin)], self.total[i])
+                    bound = both / (total[begin + size] - total[begin] + self.total[i] - both)
+                    rows = rows[bound >= SIMILARITY - 1e-9]
+                    rows = rows[np.argsort(-bound[bound >= SIMILARITY - 1e-9], kind="stable")]
+                    bound = np.sort(bound[bound >= SIMILARITY - 1e-9])[::-1]
+                for j, r in enumerate(rows.tolist()):
+                    known, place = best.get(i, (0.0, -1))
+                    if held is not None and bound[j] < known - 1e-9:
+                        break
+                    a = int(own[r])
+                    s = self.similarity(i, *counted(g[a : a + size], weight[a : a + size]))
+                    if s >= SIMILARITY and (s > known or s == known and a < place):
+                        best[i] = (s, a)
+            items = items[[best.get(i, (0.0, 0))[0] < 1 for i in items.tolist()]]  # a window can't be more alike
+            k = end
+        return best
+
+    def similarity(self, i: int, key: np.ndarray, count: np.ndarray) -> float:
+        """Weights are whole numbers, so this is exact."""
+        own, have = self.keys[self.at[i] : self.at[i + 1]], self.counts[self.at[i] : self.at[i + 1]]
+        k = np.minimum(np.searchsorted(own, key), len(own) - 1)
+        both = int(np.minimum(have[k], count)[own[k] == key].sum())
+        return both / (int(count.sum()) + int(self.total[i]) - both)
 
     def matches(self, w: Words) -> Iterator[tuple[int, int | None, float, int, int]]:
         """(row, item id, similarity, first word, words) of the best window of each item found."""
-        for r, h, at, g, keys, n in self.hits(w):
+        for r, h, at, keys, n in self.hits(w):
             lo, hi = np.searchsorted(self.key, keys, "left"), np.searchsorted(self.key, keys, "right")
-            item = self.item[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True)])]
-            where = np.repeat(at, hi - lo)
-            weight = weights(h, n)
-            have = np.bincount(item, weight[where], len(self.ids))
-            own = np.flatnonzero(have >= SIMILARITY * np.array(self.total) - 1e-9)
-            own = own[have[own] > 0]
-            for size in sorted({self.size[k] for k in own.tolist()}):
-                if (n < SHINGLE) != (size < SHINGLE) or size < SHINGLE and size != n:
-                    continue
-                items = own[[self.size[k] == size for k in own.tolist()]]
+            many = hi - lo
+            item = self.item[np.repeat(lo - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(int(many.sum()))]
+            where = np.repeat(at.astype(np.int64), many)
+            order = np.argsort(item, kind="stable")  # positions stay ascending within an item
+            item, where = item[order], where[order]
+            g, weight = shingles(h, n)
+            edge = np.concatenate([np.flatnonzero(np.diff(item, prepend=-1)), [len(item)]])
+            sums = np.concatenate([[0], np.cumsum(weight[where], dtype=np.int64)])
+            have, own = sums[edge[1:]] - sums[edge[:-1]], item[edge[:-1]]
+            fits = (have >= SIMILARITY * self.total[own] - 1e-9) & ((self.size[own] >= SHINGLE) if n == SHINGLE else (self.size[own] == n))
+            for size in np.unique(self.size[own[fits]]).tolist():
+                places = np.flatnonzero(fits & (self.size[own] == size))
                 window = min(size, len(h))
-                places = np.zeros(len(h) - window + 2, np.int32)  # windows that hold one of their shingles
-                spots = np.unique(where[np.isin(item, items)])
-                np.add.at(places, np.clip(spots - (window - n), 0, len(h) - window), 1)
-                np.add.at(places, np.minimum(spots, len(h) - window) + 1, -1)
-                first = np.flatnonzero(np.cumsum(places)[:-1] > 0)
-                base, end = int(first[0]), int(first[-1]) + window - n + 1
-                prints = simhash(g[base:end], weight[base:end], first - base, window - n + 1)
-                best: dict[int, tuple[float, int]] = {}
-                for k, i in self.candidates(prints, items):
-                    a = int(first[k])
-                    s = similarity(counted(g[a : a + window - n + 1], weight[a : a + window - n + 1]), self.shingles[i])
-                    if s >= SIMILARITY and s > best.get(i, (0.0, 0))[0]:
-                        best[i] = (s, a)
-                for i, (s, a) in best.items():
+                edges = np.zeros(len(h) - window + 2, np.int32)  # windows that hold one of their shingles
+                held = {}
+                for k in places.tolist():
+                    spots = where[edge[k] : edge[k + 1]]
+                    np.add.at(edges, np.clip(spots - (window - n), 0, len(h) - window), 1)
+                    np.add.at(edges, np.minimum(spots, len(h) - window) + 1, -1)
+                    held[int(own[k])] = (spots, sums[edge[k] : edge[k + 1] + 1])
+                first = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
+                found = self.search(g, weight, first, window - n + 1, own[places], held)
+                for i, (s, a) in found.items():
                     yield r, self.ids[i], s, a, window
 
 
@@ -154,17 +199,18 @@ def _runs(row: np.ndarray) -> tuple[list[int], list[int], list[int]]:
     return row[first].tolist(), first.tolist(), [*edge.tolist(), len(row)]
 
 
-def counted(g: np.ndarray, weight: np.ndarray) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for x, y in zip(g.tolist(), weight.tolist(), strict=True):
-        out[x] = out.get(x, 0) + y
-    return out
+def shingles(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and weights of the n-word shingles of a text."""
+    g = grams(h, n)
+    return (g ^ U(n) if n < SHINGLE else g), weights(h, n)
 
 
-def similarity(a: dict[int, int], b: dict[int, int]) -> float:
-    """Weights are whole numbers, so this is exact."""
-    both = sum(min(x, b[k]) for k, x in a.items() if k in b)
-    return both / (sum(a.values()) + sum(b.values()) - both)
+def counted(g: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, ascending, and the sum of their weights."""
+    order = np.argsort(g, kind="stable")
+    key = g[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(weight[order].astype(np.int64), first)
 
 
 def blocks(items: DataFrame) -> Iterator[Index]:

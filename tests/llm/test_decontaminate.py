@@ -1,10 +1,15 @@
 import random
 import re
+import time
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siltstone.llm import decontaminate
+from siltstone.llm.text import PUNCTUATION, words
 
 
 def weighed(w, n):
@@ -73,3 +78,52 @@ def test_blocks_hold_all_items(spark, monkeypatch):
     by = sorted(map(tuple, decontaminate.query(spark, sf).collect()))
     monkeypatch.undo()
     assert by == sorted(map(tuple, decontaminate.query(spark, sf).collect())) and by
+
+
+def test_lookup_without_the_shingle_bounds():
+    """Every window against every item by fingerprints alone: nothing that brute force finds is missed, and little is checked."""
+    r = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}" for a in "abcdefgh" for b in range(60)]
+    items = [(k, " ".join(r.choice(vocabulary, 40))) for k in range(60)]
+    index = decontaminate.Index(items)
+    found = wanted = checked = 0
+    for k in range(60):
+        passage = items[k][1].split()
+        for at in r.integers(0, 40, k % 3):
+            passage[at] = str(r.choice(vocabulary))
+        text = " ".join([*r.choice(vocabulary, 80), *passage, *r.choice(vocabulary, 70)])
+        w = next(words(pa.array([text]), PUNCTUATION))
+        g, weight = decontaminate.shingles(w.hash, 5)
+        first = np.arange(len(w.hash) - 40 + 1)
+        got = index.search(g, weight, first, 36, np.arange(60))
+        want = {i for _, i in brute([(0, text)], items)}
+        found, wanted = found + len(want & set(got)), wanted + len(want)
+        assert set(got) <= want
+        prints = decontaminate.simhash(g, weight, first, 36)
+        checked += sum(len(rows) for _, rows in index.candidates(prints, np.arange(60)))
+    assert found == wanted > 20
+    assert checked < 0.1 * 60 * 60 * len(first)
+
+
+def test_memory_on_very_long_texts():
+    """Items far apart, and one repeated, in texts of 4 MB."""
+    item = " ".join(f"word{k}" for k in range(40))
+    index = decontaminate.Index([(1, item), (2, item + " more")])
+    far = item + " filler" * 600_000 + " " + item + " more"
+    for text, want in ((far, {1, 2}), ((item + " ") * 14_000, {1, 2})):
+        tracemalloc.start()
+        began = time.process_time()
+        found = {i: s for w in words(pa.array([text]), PUNCTUATION) for _, i, s, *_ in index.matches(w)}
+        assert tracemalloc.get_traced_memory()[1] < 60 * len(text) and time.process_time() - began < 60
+        tracemalloc.stop()
+        assert set(found) == want and found[1] == 1
+
+
+def test_null_ids_repeated_rows_and_empty_tables(spark):
+    text = "one two three four five six seven eight nine"
+    docs = spark.createDataFrame([(None, text, "x"), (None, text, "x"), (3, text, "x"), (3, "else", "x"), (4, None, None)], "doc_id long, text string, similarity string")
+    items = spark.createDataFrame([(None, text), (8, text)], "item_id long, text string")
+    got = sorted((r.doc_id or 0, r.item_id or 0, r.similarity) for r in decontaminate.contamination(docs, items).collect())
+    assert got == sorted((d, i, 1.0) for d in (0, 0, 3) for i in (0, 8))
+    assert sorted((r.doc_id, r.text) for r in decontaminate.clean(docs, items).collect()) == [(3, "else"), (4, None)]
+    assert decontaminate.contamination(docs.limit(0), items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == 5
