@@ -1,16 +1,21 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file compiles to a normaliser (a space becomes the mark U+2581, one mark goes in front), a
-lexicon transducer (an arc for each piece) and byte fallback (an arc for each character that no piece has).
-A text is composed with them and the cheapest path in the tropical semiring (weights add up, the least
-wins) is its encoding. In a unigram model a piece weighs its negative score. In a BPE model the weights
-are on pairs of neighbours: 0 if encoding the two together gives just these two, infinite otherwise.
-Exactly one path is finite, and it is what merging by rank gives: a first merge across two of its pieces
+The model file compiles to three machines. The normaliser is a sequential transducer: its character map is a
+double array of states and byte arcs of which the longest match is replaced, and two more states know whether a
+blank came last; a space becomes the mark U+2581 and one mark goes in front. The lexicon is an automaton over
+characters; each state has the arcs of the pieces that end there. Byte fallback is an arc for each character
+that no piece has. A text is composed with them as far as it is read, and the cheapest path in the tropical
+semiring (weights add up, the least wins) is its encoding: for every position, the arcs into it are relaxed. In a
+unigram model an arc weighs the piece's negative score. In a BPE model states remember the piece they came by, and
+an arc weighs 0 if encoding that piece and its own together gives just these two, else infinity. Then exactly one
+path is finite, at each position too, and it is what merging by rank gives: a first merge across two of its pieces
 would also be made if those two stood alone.
 
-No piece holds a mark behind another character, so a text falls into units, each a run of marks with what
-follows up to the next, that are encoded apart and remembered. Null and empty texts have no ids.
-Texts with the mark itself decode to a space in its place, as the library has it.
+No piece holds a mark behind another character, so a normalised text falls into units, each a run of marks with
+what follows up to the next, that are encoded apart and remembered. Null and empty texts have no ids; very long
+ones are units like others, read once. Of paths that tie the one with the longer last piece wins, as in the
+library. Repeated rows have equal ids; an empty table has none. Texts with the mark itself decode to a space in
+its place. Models with user-defined pieces, BPE models with unused ones and pieces across words are refused.
 """
 
 from __future__ import annotations
@@ -73,6 +78,72 @@ class _Node:
         self.text, self.ends, self.to = text, ends, {}
 
 
+class CharacterMap:
+    """The normaliser's double array: arcs by byte from state to state, and what a key's last state is replaced by."""
+
+    def __init__(self, data: bytes) -> None:
+        size = int.from_bytes(data[:4], "little")
+        self.units = np.frombuffer(data[4 : 4 + size], "<u4").tolist()
+        self.texts = data[4 + size :]
+        self.plain: set[str] = set()  # characters that begin no key
+
+    def arcs(self, text: str, at: int) -> tuple[int, str | None]:
+        """Characters of the longest key at a place and its replacement; (1, None) where there is none."""
+        units, found = self.units, (1, None)
+        state = units[0] >> 10 << ((units[0] & 512) >> 6)
+        for k in range(at, len(text)):
+            for byte in text[k].encode("utf-8", "surrogatepass"):
+                state ^= byte
+                unit = units[state] if state < len(units) else 0
+                if unit & 0x800000FF != byte:
+                    if k == at:
+                        self.plain.add(text[at])
+                    return found
+                state ^= unit >> 10 << ((unit & 512) >> 6)
+            if unit >> 8 & 1:
+                begin = units[state] & 0x7FFFFFFF
+                found = k + 1 - at, self.texts[begin : self.texts.index(b"\0", begin)].decode()
+        return found
+
+
+class Normaliser:
+    """From a text to its characters with marks for blanks. extra: leading, trailing and repeated blanks go."""
+
+    def __init__(self, characters: bytes, prefix: bool, extra: bool) -> None:
+        self.map = CharacterMap(characters) if characters else None
+        self.prefix, self.extra = prefix, extra
+
+    def replaced(self, text: str) -> Iterator[str]:
+        at, plain, arcs = 0, self.map.plain if self.map else None, self.map and self.map.arcs
+        while at < len(text):
+            c = text[at]
+            size, new = (1, None) if plain is None or c in plain else arcs(text, at)
+            yield c if new is None else new
+            at += size
+
+    def __call__(self, text: str) -> str:
+        if self.map is None or self.map.plain.issuperset(text):
+            if not self.extra:
+                body = text
+            else:
+                body = " ".join(filter(None, text.split(" ")))
+        else:
+            out, blank = [], self.extra  # the state: whether a blank came last
+            for part in self.replaced(text):
+                while blank and part[:1] == " ":
+                    part = part[1:]
+                if part:
+                    out.append(part)
+                    blank = self.extra and part[-1] == " "
+            body = "".join(out)
+        body = body.replace(" ", MARK)
+        if self.extra:
+            if not body:
+                return ""
+            return ((MARK if self.prefix else "") + body).rstrip(MARK)
+        return (MARK if self.prefix else "") + body if text else ""
+
+
 class Model:
     """What a model file says, compiled."""
 
@@ -80,7 +151,7 @@ class Model:
         self.pieces: list[str] = []
         self.kinds: list[int] = []
         scores: list[float] = []
-        self.unigram, self.byte_fallback, self.prefix, extra = True, False, True, True
+        self.unigram, self.byte_fallback, self.prefix, self.extra, characters = True, False, True, True, b""
         for field, value in _fields(data):
             if field == 1:
                 own = dict(_fields(value))
@@ -95,23 +166,21 @@ class Model:
                     raise ValueError("only unigram and BPE models")
             elif field == 3:
                 own = dict(_fields(value))
-                self.prefix, extra = bool(own.get(3, 1)), bool(own.get(4, 1))
-                if own.get(2):
-                    raise ValueError("a model with a character map isn't supported")
-        if extra or USER in self.kinds:
-            raise ValueError("models that drop blanks or have user-defined pieces aren't supported")
-        self.id = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)) if kind in (NORMAL, UNUSED)}
+                self.prefix, self.extra, characters = bool(own.get(3, 1)), bool(own.get(4, 1)), own.get(2, b"")
+                if not own.get(5, 1):
+                    raise ValueError("models without marks aren't supported")
+        if USER in self.kinds or UNUSED in self.kinds and not self.unigram:
+            raise ValueError("models with user-defined pieces, and BPE models with unused ones, aren't supported")
+        self.normalise = Normaliser(characters, self.prefix, self.extra)
+        self.id = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)) if kind == NORMAL}
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces across words aren't supported")
         self.score = {p: scores[k] for p, k in self.id.items()}
         self.unknown = self.kinds.index(UNKNOWN)
         self.byte = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds, strict=True)) if kind == BYTE}
-        self.reach: dict[str, int] = {}  # the longest piece for its first two characters
-        for p in self.id:
-            self.reach[p[:2]] = max(self.reach.get(p[:2], 1), len(p))
         self.out = [self._bytes(k) for k in range(len(self.pieces))]
-        self.cost_unknown = _UNKNOWN_COST - min(scores, default=0.0)
-        self.together: dict[str, dict[str, bool]] = {}  # by the second and then the first
+        self.cost_unknown = _UNKNOWN_COST - min(self.score.values(), default=0.0)
+        self.together: dict[str, dict[str, float]] = {}  # weights of BPE arcs, by their piece and the one before
         order = sorted((p for p in self.id if len(p) > 1), key=lambda p: -self.score[p])
         self.rank = {p: r for r, p in enumerate(order)}
         alike = {x for x, y in zip(order, order[1:]) if self.score[x] == self.score[y]} | {y for x, y in zip(order, order[1:]) if self.score[x] == self.score[y]}
@@ -145,10 +214,10 @@ class Model:
             halves = (s[at], s[at + 1])
             s[at : at + 2] = [s[at] + s[at + 1]]
 
-    def stay(self, a: str, b: str) -> bool:
-        """Whether two neighbours have a finite weight: no merge across them comes before one that made them."""
-        self.together[b][a] = ok = self._stay(a, b)
-        return ok
+    def weigh(self, a: str, b: str) -> float:
+        """The weight of b's arc behind a: 0 if no merge across them comes before one that made them."""
+        self.together[b][a] = w = 0.0 if self._stay(a, b) else INFINITE
+        return w
 
     def _stay(self, a: str, b: str) -> bool:
         if not a:
@@ -172,41 +241,59 @@ class Model:
                     raise AssertionError(f"the piece {b!r} isn't what its merges give")
                 limit, b = made_b + 1, halves[b][0]
 
+    # lexicon and paths
+
+    def arcs(self, text: str) -> list[tuple[int, float | dict[str, float], str]]:
+        """Arcs of the pieces that end text, the longest first, and of its last character where no piece has it: length, weight, piece."""
+        found = [text[k:] for k in range(len(text)) if text[k:] in self.id or k == len(text) - 1]
+        if self.unigram:
+            return [(len(p), -self.score[p] if p in self.score else self.cost_unknown, p) for p in found]
+        return [(len(p), self.together.setdefault(p, {}), p) for p in found]
+
     def step(self, node: _Node, c: str) -> _Node:
         """The state behind the longest end of what was read that begins some piece."""
         text = node.text + c
         while text and text not in self.begins:
             text = text[1:]
         if text or c not in self.nodes:
-            ends = [text[k:] for k in range(len(text)) if text[k:] in self.id or k == len(text) - 1] or [c]
-            own = self.nodes.get(text or c) or _Node(text, [(len(p), self.together.setdefault(p, {}), p) for p in ends])
-            self.nodes[text or c] = own
+            self.nodes[text or c] = self.nodes.get(text or c) or _Node(text, self.arcs(text or c))
         node.to[c] = own = self.nodes[text or c]
         return own
 
-    def paths_bpe(self, strings: list[str]) -> Iterator[list[str]]:
-        """The one finite path of each string. At every position only one piece can end a valid path, whatever
-        follows; strings in ascending order keep what they share with the one before.
+    def paths(self, strings: list[str]) -> Iterator[list[str]]:
+        """The cheapest path of each string. Strings in ascending order keep what they share with the one before.
+
+        Composed states are places in the string, of a BPE model with the piece that ends there: the others are infinite.
         """
-        before, ends, nodes, stay = "", [""], [_Node("", [])], self.stay  # ends[i]: the piece that ends at i
+        before, far, ends, nodes, weigh, unigram = "", [0.0], [""], [_Node("", [])], self.weigh, self.unigram
         for s in strings:
             n = len(s)
             k, most = 0, min(len(before), n)
             while k < most and before[k] == s[k]:
                 k += 1
-            del ends[k + 1 :], nodes[k + 1 :]
+            del far[k + 1 :], ends[k + 1 :], nodes[k + 1 :]
             node = nodes[k]
-            for to in range(k, n):
-                node = node.to.get(s[to]) or self.step(node, s[to])
+            for to in range(k + 1, n + 1):
+                node = node.to.get(s[to - 1]) or self.step(node, s[to - 1])
                 nodes.append(node)
-                for size, fits, p in node.ends:
-                    last = ends[to + 1 - size]
-                    ok = fits.get(last)
-                    if ok or ok is None and stay(last, p):
-                        ends.append(p)
-                        break
+                best, end = INFINITE, ""
+                if unigram:
+                    for size, weight, p in node.ends:
+                        d = far[to - size] + weight
+                        if d < best:
+                            best, end = d, p
                 else:
-                    raise AssertionError(f"no path through {s[: to + 1]!r}")
+                    for size, weights, p in node.ends:
+                        last = ends[to - size]
+                        w = weights.get(last)
+                        d = far[to - size] + (weigh(last, p) if w is None else w)
+                        if d < best:
+                            best, end = d, p
+                            break  # no weight is less than 0
+                if not end:
+                    raise AssertionError(f"no path through {s[:to]!r}")
+                far.append(best)
+                ends.append(end)
             path = []
             while n:
                 p = ends[n]
@@ -216,22 +303,6 @@ class Model:
             before = s
             yield path
 
-    # unigram
-
-    def path_unigram(self, s: str) -> list[str]:
-        best, back = [0.0] + [INFINITE] * len(s), [0] * (len(s) + 1)
-        for at in range(len(s)):
-            for size in range(1, min(self.reach.get(s[at : at + 2], 1), len(s) - at) + 1):
-                p = s[at : at + size]
-                weight = -self.score[p] if p in self.score else self.cost_unknown if size == 1 else INFINITE
-                if best[at] + weight < best[at + size]:
-                    best[at + size], back[at + size] = best[at] + weight, at
-        path, at = [], len(s)
-        while at:
-            path.append(s[back[at] : at])
-            at = back[at]
-        return path[::-1]
-
     def ids_of(self, path: list[str]) -> tuple[int, ...]:
         try:
             return tuple([self.id[p] for p in path])
@@ -249,14 +320,15 @@ class Model:
     def learn(self, keys: set[str]) -> None:
         """Remembers the ids of a mark and each key."""
         new = sorted(MARK + k for k in keys.difference(self.units))
-        for s, path in zip(new, map(self.path_unigram, new) if self.unigram else self.paths_bpe(new), strict=True):
+        for s, path in zip(new, self.paths(new), strict=True):
             self.units[s[1:]] = self.ids_of(path)
 
     def split(self, text: str) -> list[str] | None:
-        """Keys of the units of a text whose blanks are single and inside."""
-        if not text or not self.prefix or MARK in text or "  " in text or text[0] == " " or text[-1] == " ":
+        """Keys of the units of a text whose normalised blanks are single and inside."""
+        text = self.normalise(text)
+        if not text or not self.prefix or MARK + MARK in text or text[0] != MARK or text[-1] == MARK:
             return None
-        return text.split(" ")
+        return text[1:].split(MARK)
 
     def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
         if len(self.units) > REMEMBERED:
@@ -275,14 +347,20 @@ class Model:
     def encode(self, text: str) -> list[int]:
         if not text:
             return []
-        units = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", MARK * self.prefix + text.replace(" ", MARK))
+        units = re.findall(f"{MARK}*[^{MARK}]+|{MARK}+", self.normalise(text))
         new = sorted(set(units))
-        known = {s: self.ids_of(path) for s, path in zip(new, map(self.path_unigram, new) if self.unigram else self.paths_bpe(new), strict=True)}
+        known = {s: self.ids_of(path) for s, path in zip(new, self.paths(new), strict=True)}
         return list(chain.from_iterable(map(known.__getitem__, units)))
 
     def decode(self, ids: list[int]) -> str:
-        out = b"".join(map(self.out.__getitem__, ids))
-        return out[1 if self.prefix and out[:1] == b" " else 0 :].decode("utf-8", "replace")
+        k, first = 0, b""
+        while k < len(ids) and not first and (self.prefix or self.extra):  # a mark in front isn't of the text
+            first = self.out[ids[k]]
+            seen = first[:1] == b" " and self.kinds[ids[k]] == NORMAL
+            first, k = first[seen:], k + 1
+            if seen and not self.extra:
+                break
+        return (first + b"".join(map(self.out.__getitem__, ids[k:]))).decode("utf-8", "replace")
 
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, ids: str = "ids") -> DataFrame:
