@@ -96,7 +96,7 @@ def bucketed(docs: DataFrame) -> DataFrame:
     steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(len(cuts), 1).bit_length()))))
     ahead = lambda at, step: F.get("bounds", at + step - 1) > F.struct("doc_id", "hash")
     place = F.aggregate(steps, F.lit(0), lambda at, step: at + F.when(ahead(at, step), step).otherwise(0))
-    return docs.crossJoin(F.broadcast(one)).withColumn("bucket", place).drop("bounds")
+    return docs.crossJoin(F.broadcast(one)).withColumn("bucket", F.coalesce(place, F.lit(0))).drop("bounds")  # never null, so all uses of the rows are one plan
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
