@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm.tables import crc, table, written
+from siltstone.llm.tables import crc, crc_sql, table, written
 
 HEAD, STATED, ENDINGS = 400_000, 16_000, 1_024
 STATES, ROUNDS = 8, 4
@@ -390,3 +390,26 @@ def score_all(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, state
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: log10 probabilities of every whole text of documents, learned from rows whose crc32 is not 1 modulo 5."""
     return score_all(table(spark, sf_dir, "documents").select("doc_id", "text", (crc("doc_id", 5) == 1).alias("held_out")))
+
+
+def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op8 SQL can say: all columns but the model's score, base_score to four places."""
+    return query(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+
+
+BASE_ORACLE = rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), split AS (
+  SELECT doc_id, {crc_sql(5)} = 1 AS held_out FROM documents
+), t AS (
+  SELECT doc_id, unnest(words) AS word FROM w UNION ALL SELECT doc_id, '' FROM w
+), c AS (
+  SELECT word, count(*) AS c FROM t JOIN split USING (doc_id) WHERE NOT held_out GROUP BY word
+), n AS (
+  SELECT sum(c)::BIGINT AS n, count(*) AS v FROM c
+)
+SELECT doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, any_value(n.n) AS train_tokens,
+  round(sum(log10((coalesce(c.c, 0) + 0.5) / (n.n + 0.5 * (n.v + 1)))), 4) AS base_score
+FROM t LEFT JOIN c USING (word) JOIN split USING (doc_id) CROSS JOIN n GROUP BY doc_id
+"""

@@ -159,3 +159,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
         likeness(F.col("sig"), F.col("next_sig")).alias("near_next"),
     )
+
+
+def facts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op2 SQL can say: lengths and the digests of edited texts."""
+    return query(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+FACTS_ORACLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents
+), n AS (
+  SELECT doc_id, text, length(text) AS n_chars, coalesce(lead(text) OVER w, first_value(text) OVER w) AS next FROM d WINDOW w AS (ORDER BY doc_id DESC)
+)
+SELECT doc_id, n_chars::BIGINT AS n_chars, sha256(substr(text, 1, n_chars - n_chars // 3) || substr(next, 1, n_chars // 3)) AS edited_sha256 FROM n
+"""

@@ -9,8 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of files up to which a table is spread over all cores: it may lie in one row group, which one task would read.
+SMALL = 24 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL else df
 
 
 def crc(doc_id: str | Column, modulus: int) -> Column:
@@ -19,6 +25,13 @@ def crc(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def crc_sql(modulus: int) -> str:
+    """`crc` of doc_id in DuckDB, which has no such function: byte by byte and bit by bit."""
+    ops = "flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN op >= 0 THEN xor(c, op) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
+    return f"(xor(list_reduce(list_prepend(4294967295::BIGINT, {ops}), lambda c, op: {step}), 4294967295::BIGINT) % {modulus})"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: spark.checkpoint.dir, or one set here where it is unset."""
     sc = spark.sparkContext
