@@ -37,6 +37,8 @@ class Options:
     pending_batches: int = 2
     #: Flush when so many bytes of newest entries wait; also the size at which compaction cuts runs.
     run_bytes: int = 256 << 20
+    #: Flush when the first waiting batch has waited so long: at the next write, or by the background thread.
+    flush_seconds: float | None = None
     #: Versions whose files stay readable.
     keep_versions: int = 5
     block_bytes: int = 4096

@@ -1,11 +1,13 @@
 """A store in a folder: a durable log of batches, sorted runs, and the manifest that says what holds.
 
-One writer at a time; the manifest's rename tells a second one so. Reads see one version of the manifest, and
+One writer at a time (the threads of one store take turns); the manifest's rename tells a second one so. Reads see one version of the manifest, and
 its files stay for as many versions as `Options.keep_versions` says, so frames outlive a flush or a merge.
 """
 
 from __future__ import annotations
 
+import threading
+import time
 import uuid
 from collections.abc import Iterable
 from dataclasses import replace
@@ -34,6 +36,13 @@ class Store:
         self.catalog = Catalog(self.files, self.options.keep_versions)
         self.manifest = self.catalog.load()
         self.closed = False
+        #: Held where the manifest changes. Runs are written without it: their inputs never change.
+        self.lock = threading.RLock()
+        self._working = threading.Lock()
+        self._waiting_since = 0.0
+        self._stop: threading.Event | None = None
+        self._thread: threading.Thread | None = None
+        self.failure: Exception | None = None
 
     # writes
 
@@ -45,15 +54,17 @@ class Store:
 
     def write(self, entries: Iterable[tuple[bytes | str, bytes | str | None]]) -> int:
         """Puts, or deletes where the value is None, in this order; all or none. The last seq."""
-        rows, seq = [], self.manifest.last_seq
-        for key, value in entries:
-            if not _bytes(key) or value is not None and not _bytes(value):
-                raise ValueError("a key or value must not be empty")
-            seq += 1
-            rows.append((bytearray(_bytes(key)), None if value is None else bytearray(_bytes(value)), seq, value is None))
-        if rows:
-            self._append(self.spark.createDataFrame(rows, LOG).coalesce(1))
-        return self.manifest.last_seq
+        with self.lock:
+            rows, seq = [], self.manifest.last_seq
+            for key, value in entries:
+                if not _bytes(key) or value is not None and not _bytes(value):
+                    raise ValueError("a key or value must not be empty")
+                seq += 1
+                rows.append((bytearray(_bytes(key)), None if value is None else bytearray(_bytes(value)), seq, value is None))
+            if rows:
+                self._append(self.spark.createDataFrame(rows, LOG).coalesce(1))
+        self._after_write()
+        return seq
 
     def ingest(self, rows: DataFrame, *order: str, source: str | None = None) -> int:
         """Rows (key, value, tombstone) in order of the given columns, which must tell any two rows apart."""
@@ -65,28 +76,48 @@ class Store:
         staged = mutations.staged(rows, *order).select(*columns, "stretch", "place")
         mutations.checked(staged).write.parquet(path)
         try:
-            self._append(mutations.numbered(self.spark.read.parquet(path), self.manifest.last_seq), source)
+            with self.lock:
+                self._append(mutations.numbered(self.spark.read.parquet(path), self.manifest.last_seq), source)
+                last = self.manifest.last_seq
         finally:
             self.files.delete(path)
-        return self.manifest.last_seq
+        self._after_write()
+        return last
 
     def append(self, log: DataFrame, source: str | None = None) -> int:
         """A log (key, value, seq, tombstone) whose seqs all lie behind the last one."""
         self._open()
         low = log.agg(F.min("seq")).first()[0]
-        if low is not None and low <= self.manifest.last_seq:
-            raise ValueError(f"seq {low} isn't behind {self.manifest.last_seq}")
-        self._append(log, source)
-        return self.manifest.last_seq
+        with self.lock:
+            if low is not None and low <= self.manifest.last_seq:
+                raise ValueError(f"seq {low} isn't behind {self.manifest.last_seq}")
+            self._append(log, source)
+            last = self.manifest.last_seq
+        self._after_write()
+        return last
 
     def _append(self, log: DataFrame, source: str | None = None) -> None:
         self._open()
         path = f"{self.files.root}/log/{uuid.uuid4().hex}"
         mutations.checked(log.select(*LOG.names)).write.parquet(path)
         self._commit_batch(path, source)
-        if len(self.manifest.batches) >= self.options.pending_batches or sum(b.bytes for b in self.manifest.batches) >= self.options.run_bytes:
+
+    def flush_due(self) -> bool:
+        """Whether enough batches or bytes wait, or the first of them has waited long enough."""
+        waiting, seconds = self.manifest.batches, self.options.flush_seconds
+        if not waiting:
+            return False
+        late = seconds is not None and time.monotonic() - self._waiting_since >= seconds
+        return late or len(waiting) >= self.options.pending_batches or sum(b.bytes for b in waiting) >= self.options.run_bytes
+
+    def _after_write(self) -> None:
+        """Flushes if it's due; a background thread, where there is one, does it instead."""
+        if not self._in_background() and self.flush_due():
             self.flush()
 
+    def _in_background(self) -> bool:
+        return self._thread is not None and self._thread.is_alive()
+
     def _commit_batch(self, path: str, source: str | None) -> None:
         own = self.spark.read.schema(LOG).parquet(path)
         n, size, low, high = own.agg(F.count("*"), F.coalesce(F.sum(entry_bytes()), F.lit(0)), F.min("seq"), F.max("seq")).first()
@@ -95,6 +126,8 @@ class Store:
             name, _, number = source.rpartition(":")
             changes["streams"] = self.manifest.streams | {name: int(number)}
         if n:
+            if not self.manifest.batches:
+                self._waiting_since = time.monotonic()
             changes |= {"batches": (*self.manifest.batches, Batch(path, n, size, low, high, source)), "last_seq": max(high, self.manifest.last_seq)}
         if changes:
             self.manifest = self.catalog.commit(self.manifest, **changes)
@@ -102,18 +135,29 @@ class Store:
     def flush(self) -> list[Run]:
         """The waiting batches become one sorted run of level 0, tombstones too."""
         self._open()
-        old = self.manifest
-        if not old.batches:
-            return []
-        pending = self._log(old.batches)
-        runs = self._write_runs(latest(pending), 0, sum(b.bytes for b in old.batches), sum(b.n_rows for b in old.batches), parts=False)
-        self.manifest = self.catalog.commit(old, runs=(*old.runs, *runs), batches=(), next_run=old.next_run + len(runs))
-        if self.options.strategy is not Strategy.NONE:
+        with self._working:
+            waiting = self.manifest.batches
+            if not waiting:
+                return []
+            written = self._write_runs(latest(self._log(waiting)), 0, sum(b.bytes for b in waiting), sum(b.n_rows for b in waiting), parts=False)
+            runs = self._swap(written, batches=waiting)
+        if self.options.strategy is not Strategy.NONE and not self._in_background():
             self.compact()
         return list(runs)
 
+    def _swap(self, written: list[Run], runs: Iterable[Run] = (), batches: Iterable[Batch] = ()) -> list[Run]:
+        """One new version in which the written runs, numbered now, take the place of others."""
+        with self.lock:
+            m = self.manifest
+            gone, done = {r.run_id for r in runs}, {b.path for b in batches}
+            new = [replace(r, run_id=m.next_run + k) for k, r in enumerate(written)]
+            kept = (*(r for r in m.runs if r.run_id not in gone), *new)
+            self.manifest = self.catalog.commit(m, runs=kept, batches=tuple(b for b in m.batches if b.path not in done), next_run=m.next_run + len(new))
+            self._waiting_since = time.monotonic()
+        return new
+
     def _write_runs(self, entries: DataFrame, level: int, size: int, rows: int, parts: bool) -> list[Run]:
-        """Range-sorted runs; each range is a run of its own if `parts`, else all are one."""
+        """Range-sorted runs, not numbered yet; each range is a run of its own if `parts`, else all are one."""
         path = f"{self.files.root}/runs/{uuid.uuid4().hex}"
         ranges = max(1, -(-size // self.options.run_bytes))
         out = entries.repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id() if parts else F.lit(0))
@@ -125,10 +169,10 @@ class Store:
         got = manifest_rows(own, "part").orderBy("first_key").collect()
         return [
             Run(
-                self.manifest.next_run + k, level, f"{path}/part={r['part']}", r["n_rows"], r["n_tombstones"], r["bytes"],
+                0, level, f"{path}/part={r['part']}", r["n_rows"], r["n_tombstones"], r["bytes"],
                 bytes(r["first_key"]), bytes(r["last_key"]), r["min_seq"], r["max_seq"],
             )
-            for k, r in enumerate(got)
+            for r in got
         ]
 
     def compact(self, strategy: Strategy | None = None) -> list[compaction.Task]:
@@ -141,16 +185,39 @@ class Store:
         return done
 
     def merge(self, task: compaction.Task) -> None:
-        old = self.manifest
-        inputs = [r for r in old.runs if r.run_id in task.inputs]
-        if len(inputs) != len(task.inputs):
-            raise ValueError("a task's runs must all be there")
-        merged = latest(self._log(inputs))
-        if task.drop_tombstones:
-            merged = merged.where("NOT tombstone")
-        runs = self._write_runs(merged, task.level, sum(r.bytes for r in inputs), sum(r.n_rows for r in inputs), parts=task.level > 0)
-        kept = tuple(r for r in old.runs if r.run_id not in task.inputs)
-        self.manifest = self.catalog.commit(old, runs=(*kept, *runs), next_run=old.next_run + len(runs))
+        with self._working:
+            inputs = [r for r in self.manifest.runs if r.run_id in task.inputs]
+            if len(inputs) != len(task.inputs):
+                raise ValueError("a task's runs must all be there")
+            merged = latest(self._log(inputs))
+            if task.drop_tombstones:
+                merged = merged.where("NOT tombstone")
+            written = self._write_runs(merged, task.level, sum(r.bytes for r in inputs), sum(r.n_rows for r in inputs), parts=task.level > 0)
+            self._swap(written, runs=inputs)
+
+    def background(self, every: float = 0.1) -> None:
+        """Flushes and compacts in a thread of its own, so that writes wait for neither, until the store is closed.
+
+        What goes wrong there is kept in `failure` and raised by `close`.
+        """
+        self._open()
+        if self._thread is not None:
+            return
+        stop = self._stop = threading.Event()
+
+        def work() -> None:
+            while not stop.wait(every):
+                try:
+                    if self.flush_due():
+                        self.flush()
+                        if self.options.strategy is not Strategy.NONE:
+                            self.compact()
+                except Exception as e:  # noqa: BLE001
+                    self.failure = e
+                    return
+
+        self._thread = threading.Thread(target=work, daemon=True, name="store")
+        self._thread.start()
 
     def vacuum(self, keep: int = 1) -> list[str]:
         """Removes what only versions before the newest `keep` have, and what writers that failed left. The folders removed.
@@ -158,7 +225,8 @@ class Store:
         Frames that were made before it may lose their files.
         """
         self._open()
-        return self.catalog.vacuum(keep)
+        with self._working, self.lock:
+            return self.catalog.vacuum(keep)
 
     # reads
 
@@ -220,7 +288,14 @@ class Store:
 
     def close(self) -> None:
         """Flushes; a closed store can be read and not written."""
+        if self._thread is not None:
+            self._stop.set()
+            self._thread.join()
+            self._thread = None
         if not self.closed:
+            if self.failure is not None:
+                self.closed = True
+                raise self.failure
             self.flush()
             self.closed = True
 

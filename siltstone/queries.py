@@ -175,6 +175,11 @@ def block_roundtrip(spark, d):
     return shown(codec.entries(codec.blocks(runs_of(spark, d))).drop("block_id"))
 
 
+def block_prefix_roundtrip(spark, d):
+    """Blocks whose keys are kept as what differs from the block's first one."""
+    return shown(codec.entries(codec.blocks(runs_of(spark, d), prefixed=True), prefixed=True).drop("block_id"))
+
+
 def block_large_values(spark, d):
     """Whole documents as values: a text beyond the block size has a block of its own."""
     docs = spark.read.parquet(f"{d}/documents.parquet")
@@ -285,7 +290,7 @@ QUERIES = {
     for f in (
         put_delete_log, kv_snapshot, kv_snapshot_orders, kv_get, kv_multi_get, kv_multi_get_bulk, kv_range_scan, kv_as_of, flush_runs,
         run_manifest, run_prune, merge_runs, two_way_merge, concat_runs, compact_full, compact_stats, level_overlap, level_check,
-        level_seek, memtable_size, freeze_by_bytes, bloom_params, bloom_probe, block_index, block_roundtrip, block_large_values, store_snapshot,
+        level_seek, memtable_size, freeze_by_bytes, bloom_params, bloom_probe, block_index, block_roundtrip, block_prefix_roundtrip, block_large_values, store_snapshot,
         store_full_compaction, store_tiered_compaction, store_leveled_compaction, store_ingest, store_all_deleted, stream_snapshot, tiered_plan, bench_workload,
     )
 }
@@ -377,6 +382,7 @@ ORACLES = {
     "bloom_params": _LOG + "SELECT run_id, count(*) AS n, 10::BIGINT AS bits_per_key, 7 AS probes, (ceil(greatest(64, 10 * count(*)) / 8.0) * 8)::BIGINT AS bits FROM runs GROUP BY run_id",
     "bloom_probe": _LOG + "SELECT run_id, count(*) AS held, 0::BIGINT AS missed, count(*) AS absent, true AS few_false FROM runs GROUP BY run_id",
     "block_roundtrip": _LOG + "SELECT run_id, k, v, tombstone FROM runs",
+    "block_prefix_roundtrip": _LOG + "SELECT run_id, k, v, tombstone FROM runs",
     "block_large_values": "SELECT doc_id::VARCHAR AS k, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256 FROM documents WHERE length(text) > 0",
     "store_snapshot": _LOG + _SNAPSHOT,
     "store_full_compaction": _LOG + "SELECT k, v, seq, tombstone FROM latest WHERE NOT tombstone",

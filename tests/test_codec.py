@@ -119,3 +119,34 @@ def test_filter_frames_agree_with_bytes(spark):
     asked = frame(spark, [(run, 0, k, b"v") for run in keys for k in [*keys[run], *others]])
     for p in bloom.probe(asked, bloom.build(runs, sizes), sizes).collect():
         assert p.may_contain == bloom.contains(bloom.pack(keys[p.run_id]), bytes(p.key))
+
+
+@given(st.lists(st.tuples(st.binary(min_size=1, max_size=12), st.one_of(st.none(), st.binary(min_size=1, max_size=40))), min_size=1, max_size=30, unique_by=lambda e: e[0]))
+def test_cursor_in_both_layouts(rows):
+    rows.sort()
+    assert codec.decode_prefixed(codec.encode_prefixed(rows)) == rows == codec.decode(codec.encode(rows))
+    for prefixed in (False, True):
+        c = codec.Cursor((codec.encode_prefixed if prefixed else codec.encode)(rows), prefixed)
+        for key in [rows[0][0], rows[-1][0], b"\0", b"\xff" * 13, rows[len(rows) // 2][0] + b"\0"]:
+            c.seek(key)
+            want = [r for r in rows if r[0] >= key]
+            assert c.valid() == bool(want) and (not want or (c.key, c.value or None) == want[0])
+        c.seek_first()
+        seen = []
+        while c.valid():
+            seen.append(c.key)
+            c.next()
+        assert seen == [k for k, _ in rows]
+        c.seek_offset(c.offsets[-1])
+        assert c.key == rows[-1][0]
+
+
+def test_prefixes_and_damage():
+    assert codec.overlap(b"abc", b"abd") == 2 and codec.overlap(b"", b"x") == 0 and codec.overlap(b"ab", b"ab") == 2
+    block = codec.encode_prefixed([(b"user-1", b"a"), (b"user-2", None)])
+    assert len(block) == (2 + 2 + 6 + 2 + 1) + (2 + 2 + 1 + 2) + 6
+    for bad in (b"", b"\0\0", block[:-3] + b"\xff\xff\xff", codec.encode([(b"k", b"v" * 9)])[:5] + b"\0\0\0\1"):
+        with pytest.raises(codec.BlockError):
+            codec.decode_prefixed(bad)
+    with pytest.raises(codec.BlockError):
+        codec.encode_prefixed([])

@@ -1,6 +1,7 @@
 """The store against a dict."""
 
 import random
+import time
 
 import pytest
 
@@ -279,3 +280,40 @@ def test_block_index_of_all_runs(spark, tmp_path):
     for r in s.block_index(1000).collect():
         got[r.run_id] = got.get(r.run_id, 0) + r.n_entries
     assert got == {1: 50, 2: 51, 3: 52}
+
+
+def test_flush_and_merge_in_the_background(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), Options(pending_batches=2, flush_seconds=0.5, strategy=Strategy.FULL))
+    s.background(0.05)
+    for k in range(6):
+        s.put(f"k{k % 4}", str(k))
+    until = time.monotonic() + 60
+    while (s.manifest.batches or len(s.manifest.runs) != 1) and time.monotonic() < until:
+        time.sleep(0.1)
+    assert s.failure is None and not s.manifest.batches and len(s.manifest.runs) == 1
+    assert contents(s) == {b"k0": b"4", b"k1": b"5", b"k2": b"2", b"k3": b"3"}
+    s.delete("k0")
+    s.close()
+    assert contents(s.reopen()) == {b"k1": b"5", b"k2": b"2", b"k3": b"3"}
+    assert s.manifest.last_seq == 7
+
+
+def test_flush_by_age_at_the_next_write(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), Options(pending_batches=99, flush_seconds=0.0))
+    s.put("a", "1")
+    assert len(s.manifest.runs) == 1 and not s.manifest.batches
+
+
+def test_a_failure_in_the_background_is_raised_by_close(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "s"), Options(pending_batches=1))
+
+    def broken():
+        raise OSError("no room")
+
+    s.flush = broken
+    s.background(0.01)
+    s.put("a", "1") if s._in_background() else None
+    s._thread.join(30)
+    with pytest.raises(OSError):
+        s.close()
+    assert contents(Store(spark, s.files.root)) == {b"a": b"1"}
