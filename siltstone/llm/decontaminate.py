@@ -270,3 +270,35 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op3: every document of documents that holds an item of benchmark."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{80}-\x{10FFFF}]+')"
+#: Exact similarities of all windows, without fingerprints.
+ORACLE = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, doc_id, {_WORDS} AS w FROM documents
+), i AS (
+  SELECT item, item_id, w, len(w) AS size, least(5, len(w)) AS n FROM (SELECT row_number() OVER () AS item, item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0
+), counted AS (
+  SELECT item, n, g, sum(weight) AS c FROM (
+    SELECT item, n, array_to_string(x, ' ') AS g, len(list_distinct(x)) AS weight FROM (SELECT item, n, unnest(list_transform(range(1, size - n + 2), lambda p: w[p:p + n - 1])) AS x FROM i)
+  ) GROUP BY ALL
+), totals AS (
+  SELECT item, sum(c) AS total FROM counted GROUP BY item
+), s AS (
+  SELECT doc, n, p, array_to_string(w[p:p + n - 1], ' ') AS g, len(list_distinct(w[p:p + n - 1])) AS weight
+  FROM (SELECT doc, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT n FROM i) WHERE len(w) >= n)
+), pairs AS (
+  SELECT doc, item, any_value(total) AS total FROM s JOIN counted USING (n, g) JOIN totals USING (item) GROUP BY doc, item HAVING sum(weight) >= 0.8 * any_value(total) - 1e-9
+), windows AS (
+  SELECT doc, item, total, n, least(size, len(d.w)) AS n_words, unnest(range(1, len(d.w) - least(size, len(d.w)) + 2)) AS a FROM pairs JOIN d USING (doc) JOIN i USING (item)
+), held AS (
+  SELECT x.doc, x.item, x.a, x.n_words, x.total, s.g, x.n, sum(s.weight) AS have FROM windows x JOIN s ON s.doc = x.doc AND s.n = x.n AND s.p BETWEEN x.a AND x.a + x.n_words - x.n GROUP BY ALL
+), likeness AS (
+  SELECT h.doc, h.item, h.a, h.n_words, sum(least(have, coalesce(c, 0)))::DOUBLE AS common, sum(have)::DOUBLE AS own, any_value(h.total)::DOUBLE AS total
+  FROM held h LEFT JOIN counted USING (item, n, g) GROUP BY ALL
+), best AS (
+  SELECT doc, item, n_words, a, common / (own + total - common) AS similarity, row_number() OVER (PARTITION BY doc, item ORDER BY common / (own + total - common) DESC, a) AS nr FROM likeness WHERE common / (own + total - common) >= 0.8
+)
+SELECT doc_id, item_id, similarity, a - 1 AS first_word, n_words FROM best JOIN d USING (doc) JOIN i USING (item) WHERE nr = 1
+"""

@@ -12,8 +12,9 @@ cluster is compared in blocks of bounded size, two blocks a task: texts are sent
 cluster, pairs never leave a task, and of links only those that join components. Pairs that share a key but
 no cluster are compared one by one. Which pairs get compared therefore never depends on the size of a group.
 
-Null ids are linked with nothing and have no component; rows that share an id are one document.
-Null and empty texts have an empty set, linked with nothing.
+Null ids are linked with nothing and have no component; rows that share an id are one document. Null and empty
+texts have an empty set, linked with nothing; very long texts are sets like others. Ties have no say: the
+smallest id names a component. Columns but doc_id and text play no part. An empty table has no rows.
 """
 
 from __future__ import annotations

@@ -16,4 +16,4 @@ QUERIES = {
     "fingerprint_facts": sampling.facts_query,
     "base_scores": markov.base_query,
 }
-ORACLES: dict[str, str] = {"fingerprint_facts": sampling.FACTS_ORACLE, "base_scores": markov.BASE_ORACLE, "op5_warc": warc.ORACLE, "op6_chat": chat.ORACLE, "op7_near_duplicates": minhash.ORACLE, "op10_secrets": secrets.ORACLE}
+ORACLES: dict[str, str] = {"op3_decontaminate": decontaminate.ORACLE, "fingerprint_facts": sampling.FACTS_ORACLE, "base_scores": markov.BASE_ORACLE, "op5_warc": warc.ORACLE, "op6_chat": chat.ORACLE, "op7_near_duplicates": minhash.ORACLE, "op10_secrets": secrets.ORACLE}
