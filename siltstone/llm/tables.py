@@ -27,7 +27,7 @@ def crc(doc_id: str | Column, modulus: int) -> Column:
 
 def crc_sql(modulus: int) -> str:
     """`crc` of doc_id in DuckDB, which has no such function: byte by byte and bit by bit."""
-    ops = "flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
+    ops = "flatten(list_transform(list_filter(string_split(coalesce(doc_id::VARCHAR, ''), ''), lambda c: c <> ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))"
     step = "CASE WHEN op >= 0 THEN xor(c, op) ELSE xor(c >> 1, 3988292384 * (c & 1)) END"
     return f"(xor(list_reduce(list_prepend(4294967295::BIGINT, {ops}), lambda c, op: {step}), 4294967295::BIGINT) % {modulus})"
 
