@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.tables import table
-from siltstone.llm.text import PUNCTUATION, U, Words, grams, words
+from siltstone.llm.text import PUNCTUATION, U, Words, grams, release, words
 
 SHINGLE, SIMILARITY, RADIUS = 5, 0.8, 23
 #: Bounds of one block of items, which goes to every task.
@@ -262,6 +262,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
                     for r, *_ in shared.value.matches(w):
                         keep[w.lo + r] = False
                 yield batch if keep.all() else batch.filter(pa.array(keep))
+            release()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.components import components
 from siltstone.llm.tables import table, written
-from siltstone.llm.text import U, mix, shared, shingle_sets, words
+from siltstone.llm.text import U, mix, release, shared, shingle_sets, words
 
 #: Documents compared with one hub in one stretch; more are split.
 STRETCH = 256
@@ -77,6 +77,7 @@ def sketch(docs: DataFrame, shingle: int, tables: int, width: int) -> DataFrame:
                     ends = np.concatenate([[0], np.cumsum(some) * tables]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(ends, keys.reshape(-1).view(np.int64)))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "c1", "c2", "a", "b"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
@@ -111,6 +112,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, of_100: int) -> Da
                             found.append((hub[r], node[r]))
                             break
             yield _pairs(found)
+        release()
 
     return rows.select("hub", "stretch", "node", "member", "text").mapInArrow(run, "a long, b long")
 
@@ -181,6 +183,8 @@ def confirm_clusters(members: DataFrame, texts: DataFrame, shingle: int, of_100:
                     group.add(columns[3][r], columns[4][r], columns[5][r], sets[ends[k] : ends[k + 1]].copy())
             yield _pairs(found)
         yield _pairs(list(group.links(of_100)))
+        group = sets = None
+        release()
 
     return rows.select(*by, "side", "node", "component", "text").mapInArrow(run, "a long, b long")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.automaton import Longest, compile_rules, resetting
-from siltstone.llm.text import chunks
+from siltstone.llm.text import chunks, release
 
 
 class Rule(NamedTuple):
@@ -199,6 +199,7 @@ def redact(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
                 arrays[k] = pa.compute.replace_with_mask(col, pa.array(mask), new)
                 batch = pa.RecordBatch.from_arrays(arrays, schema=batch.schema)
             yield batch
+        release()
 
     out = docs.mapInArrow(scan, docs.schema)
     return out.withColumn("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else out

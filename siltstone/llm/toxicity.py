@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.tables import crc, table
-from siltstone.llm.text import FIRST, PUNCTUATION, U, Words, mix, words
+from siltstone.llm.text import FIRST, PUNCTUATION, U, Words, mix, release, words
 
 SAMPLE, SAMPLE_BYTES = 20_000, 8 << 20
 BUCKETS = 1 << 22
@@ -193,6 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes
                 bucket, first = bucket.astype(np.int32), s.of_row.tolist()
                 columns = (pa.array([x[e[r] : e[r + 1]].tobytes() for r in rows], pa.binary()) for x, e in ((bucket, at), (size, first)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(s.w.lo, len(rows)), *columns], ["toxic", "bucket", "size"])
+        release()
 
     got = texts.join(F.broadcast(chosen), "doc_id").select("toxic", "text").mapInArrow(pick, "toxic int, bucket binary, size binary").toArrow().to_pydict()
     return fit([(t, np.frombuffer(b, np.int32), np.frombuffer(s, np.int32)) for t, b, s in sorted(zip(*got.values(), strict=True))])
@@ -235,6 +236,7 @@ def reject(docs: DataFrame, model: Model, text: str = "text", cutoff: float = CU
         for batch in batches:
             found = [p for _, p, _ in scored(shared.value, batch.column(batch.schema.get_field_index(text)))]
             yield batch.filter(pa.array(np.concatenate(found) < cutoff)) if found else batch
+        release()
 
     return docs.mapInArrow(run, docs.schema)
 
