@@ -5,7 +5,8 @@ r and c from Gamma(2, 1) and b uniform in [0, 1), all from hashes of term and sa
 t = floor(ln(weight) / r + b), the term with the least ln(c) - r * (t - b + 1) is drawn. Two documents draw
 the same term at the same t with a probability of their generalised Jaccard similarity, the sum of least
 weights over the sum of greatest. The least value itself tells term and t, so a fingerprint is the 32-bit
-hashes of these values, and the likeness of two is the share of equal samples.
+hashes of these values, and the likeness of two is the share of equal samples. A value depends on term and
+weight alone, so those of frequent pairs are a table.
 
 Texts without words have a fingerprint of zeros: like each other, unlike all else. Null texts are empty; very
 long ones are terms like others. Documents come in descending order of id, then of their text's hash and text;
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from siltstone.llm.tables import table
 
 SAMPLES, A_GROUP = 64, 16
+#: Entries of the table of known values, whatever the input; rows that choose them (an eighth of all at most) and the code points read of each.
+KNOWN, KNOWN_FROM, KNOWN_CHARS = 1 << 16, 1 << 14, 1 << 13
 #: Documents of a bucket of neighbours, the most buckets there are, whatever the input, and sampled rows for each.
 A_BUCKET, MOST_BUCKETS, A_BOUND = 512, 1 << 16, 16
 _LN2 = math.log(2)
@@ -40,12 +43,40 @@ def value(term: Column, group: Column, j: int, log_weight: Column) -> Column:
     return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
 
 
-def signatures(terms: DataFrame, *by: str) -> DataFrame:
+def word_terms(text: Column | str) -> Column:
+    """The words of a text, and an empty one where it begins or ends in blanks."""
+    return F.explode(F.split(text, _BLANK))
+
+
+def pair(term: Column, weight: Column) -> Column:
+    """A 64-bit key that tells a term's weights apart, the term itself for weight 1; null for weights that don't fit."""
+    return F.when(weight <= 1 << 24, term.bitwiseXOR(F.shiftleft(weight - 1, 40)))
+
+
+def known_values(docs: DataFrame) -> DataFrame:
+    """(key, of_term, known): the values in all samples of the pairs of term and weight that a sample of docs (text) has most often.
+
+    They are what `value` gives, worked out once; which pairs are there changes the time only.
+    """
+    n = max(docs.count(), 1)
+    some = docs.sample(min(KNOWN_FROM / n, 0.125), 7).select(F.monotonically_increasing_id().alias("nr"), F.substr("text", F.lit(1), F.lit(KNOWN_CHARS)).alias("text"))
+    words = some.select("nr", word_terms("text").alias("word")).where("word != ''")
+    weights = words.groupBy("nr", F.xxhash64("word").alias("term")).agg(F.count("*").alias("weight"))
+    pairs = weights.groupBy("term", "weight").agg(F.count("*").alias("times")).where("times > 1")
+    pairs = pairs.orderBy(F.desc("times"), "term", "weight").limit(KNOWN)
+    w = F.ln(F.col("weight").cast("double"))
+    groups = pairs.select(pair(F.col("term"), F.col("weight")).alias("key"), "term", w.alias("w"), F.explode(F.array(*(F.lit(g) for g in range(SAMPLES // A_GROUP)))).alias("group"))
+    values = F.array(*(value(F.col("term"), F.col("group"), j, F.col("w")) for j in range(A_GROUP)))
+    parts = groups.groupBy("key").agg(F.min("term").alias("of_term"), F.sort_array(F.collect_list(F.struct("group", values.alias("values")))).alias("parts"))
+    return parts.where(F.size("parts") == SAMPLES // A_GROUP).select("key", "of_term", F.flatten("parts.values").alias("known"))  # two pairs of one key: neither
+
+
+def signatures(terms: DataFrame, *by: str, known: DataFrame) -> DataFrame:
     """(*by, sig, edited_sig) of rows (*by, term, own, edited): a term and its weights in a text and in its edited form.
 
-    A term of equal weights counts for both texts at once. Samples come in groups of A_GROUP, rows of their
-    own, so that the generated code of one aggregation stays small enough to be compiled. Nothing is shuffled
-    if the rows lie together by `by` or some of it.
+    A term of equal weights counts for both texts at once. Values come from the table `known` where they are
+    in it. Samples come in groups of A_GROUP, rows of their own, so that the generated code of one aggregation
+    stays small enough to be compiled. Nothing is shuffled if the rows lie together by `by` or some of it.
     """
     both = F.col("own") == F.col("edited")
     weigh = lambda of, w: F.struct(F.lit(of).alias("of"), w.alias("w"))
@@ -54,9 +85,11 @@ def signatures(terms: DataFrame, *by: str) -> DataFrame:
         F.when(~both & (F.col("own") > 0), weigh(1, F.col("own"))),
         F.when(~both & (F.col("edited") > 0), weigh(2, F.col("edited"))),
     )
-    rows = terms.select(*by, "term", F.explode(uses).alias("use")).where("use IS NOT NULL").select(*by, "term", "use.of", F.ln(F.col("use.w").cast("double")).alias("w"))
-    rows = rows.select(*by, "term", "of", "w", F.explode(F.array(*(F.lit(g) for g in range(SAMPLES // A_GROUP)))).alias("group"))
-    least = [F.min(value(F.col("term"), F.col("group"), j, F.col("w"))).alias(f"a{j}") for j in range(A_GROUP)]
+    rows = terms.select(*by, "term", F.explode(uses).alias("use")).where("use IS NOT NULL").select(*by, "term", "use.of", F.col("use.w").alias("weight"))
+    rows = rows.withColumn("key", pair(F.col("term"), F.col("weight"))).join(F.broadcast(known), "key", "left")  # at most KNOWN rows
+    rows = rows.select(*by, "term", "of", F.ln(F.col("weight").cast("double")).alias("w"), F.when(F.col("of_term") == F.col("term"), F.col("known")).alias("known"), F.explode(F.array(*(F.lit(g) for g in range(SAMPLES // A_GROUP)))).alias("group"))
+    told = lambda j: F.get("known", F.col("group") * A_GROUP + j)
+    least = [F.min(F.when(F.col("known").isNotNull(), told(j)).otherwise(value(F.col("term"), F.col("group"), j, F.col("w")))).alias(f"a{j}") for j in range(A_GROUP)]
     drawn = rows.groupBy(*by, "group", "of").agg(*least)
     of = lambda without: [F.min(F.when(F.col("of") != without, F.col(f"a{j}"))).alias(f"{without}_{j}") for j in range(A_GROUP)]
     drawn = drawn.groupBy(*by, "group").agg(*of(2), *of(1))
@@ -137,10 +170,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         F.struct(rest(F.col("text")).alias("text"), F.lit(1).alias("of")),
         F.struct(F.concat(rest(F.col("head")), F.col("put")).alias("text"), F.lit(2).alias("of")),
     )
-    words = split.select("bucket", "row", F.explode(parts).alias("part")).select("bucket", "row", F.col("part.of").alias("of"), F.explode(F.split("part.text", _BLANK)).alias("word"))
+    words = split.select("bucket", "row", F.explode(parts).alias("part")).select("bucket", "row", F.col("part.of").alias("of"), word_terms("part.text").alias("word"))
     terms = words.where("word != ''").select("bucket", "row", "of", F.xxhash64("word").alias("term"))
     terms = terms.groupBy("bucket", "row", "term").agg(F.sum(F.col("of").bitwiseAND(F.lit(1))).alias("own"), F.sum(F.shiftright("of", 1)).alias("edited"))
-    drawn = signatures(terms, "bucket", "row")
+    drawn = signatures(terms, "bucket", "row", known=known_values(docs.select("text")))
 
     facts = rows.select("bucket", "row", "ghost", "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.concat("head", "put"), 256).alias("edited_sha256"))
     nothing = F.array_repeat(F.lit(0), SAMPLES)

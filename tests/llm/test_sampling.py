@@ -102,3 +102,37 @@ def test_signature_is_the_least_of_plain_values(spark):
     values = rows.select(*(F.min(sampling.value(F.col("term"), F.lit(g), j, F.ln(F.col("n").cast("double")))) for g in range(4) for j in range(16))).first()
     assert all(abs(a - b) < 1e-9 for a, b in zip(values, want, strict=True))
     assert sig == [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").selectExpr("hash(v)").collect()]
+
+
+def evaluated(spark, docs, known):
+    """Rows of terms in docs whose values are not in the table, of all."""
+    words = docs.select("doc_id", sampling.word_terms("text").alias("word")).where("word != ''")
+    terms = words.groupBy("doc_id", F.xxhash64("word").alias("term")).agg(F.count("*").alias("weight")).withColumn("key", sampling.pair(F.col("term"), F.col("weight")))
+    return terms.join(known, "key", "left").agg(F.sum(F.col("known").isNull().cast("int")), F.count("*")).first()
+
+
+def test_values_of_frequent_terms_are_worked_out_once(spark, monkeypatch):
+    """Even of a small table a quarter of the rows find their values in the table, which is no larger than asked for and changes no result."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    known = sampling.known_values(docs).cache()
+    left, n = evaluated(spark, docs, known)
+    assert left < 0.75 * n and known.count() <= sampling.KNOWN
+    term, w = F.col("of_term"), F.log(F.col("w").cast("double"))
+    rows = known.limit(300).withColumn("w", F.shiftrightunsigned(F.col("key").bitwiseXOR(term), 40) + 1)
+    assert rows.where("w > 1").count() > 0
+    plain = [sampling.value(term, F.lit(g), j, w) for g in range(sampling.SAMPLES // sampling.A_GROUP) for j in range(sampling.A_GROUP)]
+    assert all(r.known == r.plain for r in rows.select("known", F.array(*plain).alias("plain")).collect())
+
+    few = docs.orderBy("doc_id").limit(300).union(spark.createDataFrame([(-1, "of " * 70_000), (-2, None)], docs.schema)).cache()
+    results = []
+    for size in (sampling.KNOWN, 5, 0):
+        monkeypatch.setattr(sampling, "KNOWN", size)
+        results.append(sorted(map(str, sampling.fingerprints(few).collect())))
+    assert results[0] == results[1] == results[2] and len(results[0]) == 302
+
+
+def test_weights_that_do_not_fit_have_no_key(spark):
+    """A weight of 2**24 + 1 must not be taken for weight 1."""
+    rows = spark.createDataFrame([(77, w) for w in (1, 2, 1 << 24, (1 << 24) + 1)], "term long, weight long")
+    keys = [r[0] for r in rows.orderBy("weight").select(sampling.pair(F.col("term"), F.col("weight"))).collect()]
+    assert keys[0] == 77 and keys[3] is None and len({*keys[:3]}) == 3
