@@ -24,6 +24,10 @@ from siltstone.plans import compaction
 from siltstone.sources.manifest import Batch, Catalog, Files, Manifest, Run
 
 
+#: Bytes of entries that a task writes, at least where there are more tasks than cores.
+TASK_BYTES = 32 << 20
+
+
 def _bytes(x: bytes | str) -> bytes:
     return x.encode() if isinstance(x, str) else bytes(x)
 
@@ -160,7 +164,12 @@ class Store:
         """Range-sorted runs, not numbered yet; each range is a run of its own if `parts`, else all are one."""
         path = f"{self.files.root}/runs/{uuid.uuid4().hex}"
         ranges = max(1, -(-size // self.options.run_bytes))
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))  # small runs don't each need a task
+        if not parts:
+            ranges = min(ranges, tasks)
         out = entries.repartitionByRange(ranges, "key").withColumn("part", F.spark_partition_id() if parts else F.lit(0))
+        if tasks < ranges:
+            out = out.coalesce(tasks)
         writer = out.sortWithinPartitions("part", "key").write.partitionBy("part").option("parquet.page.write-checksum.enabled", "true")
         if self.options.bloom_filter:
             writer = writer.option("parquet.bloom.filter.enabled#key", "true").option("parquet.bloom.filter.expected.ndv#key", str(max(1, rows // ranges)))
@@ -186,7 +195,8 @@ class Store:
 
     def merge(self, task: compaction.Task) -> None:
         with self._working:
-            inputs = [r for r in self.manifest.runs if r.run_id in task.inputs]
+            asked = set(task.inputs)
+            inputs = [r for r in self.manifest.runs if r.run_id in asked]
             if len(inputs) != len(task.inputs):
                 raise ValueError("a task's runs must all be there")
             merged = latest(self._log(inputs))

@@ -317,3 +317,22 @@ def test_a_failure_in_the_background_is_raised_by_close(spark, tmp_path):
     with pytest.raises(OSError):
         s.close()
     assert contents(Store(spark, s.files.root)) == {b"a": b"1"}
+
+
+def test_a_level_goes_down_at_once(spark, tmp_path):
+    o = Options(level0_runs=2, level1_bytes=25, level_factor=2)
+    many = [run(k, 1, first=b"%03d" % k, last=b"%03dz" % k) for k in range(1, 101)]
+    assert compaction.leveled(many, o) == compaction.Task(tuple(range(1, 99)), 2, True)
+    s = Store(spark, str(tmp_path / "s"), Options(strategy=Strategy.LEVELED, level0_runs=2, run_bytes=100, level1_bytes=200, level_factor=2))
+    held = {}
+    for batch in range(4):
+        rows = [(b"k%04d" % k, None if (k + batch) % 7 == 0 else b"v%d-%d" % (k, batch)) for k in range(batch, 400, 2)]
+        s.append(frame(spark, [(s.manifest.last_seq + 1 + n, k, v) for n, (k, v) in enumerate(rows)]))
+        held |= dict(rows)
+    s.flush()
+    assert contents(s.reopen()) == {k: v for k, v in held.items() if v is not None}
+    assert len(s.manifest.runs) > 30 and s.manifest.version < 20  # some merges for each flush, not one for each run
+    for level in range(1, 5):
+        own = [r for r in s.manifest.runs if r.level == level]
+        assert compaction.disjoint(own) and (level == 4 or sum(r.bytes for r in own) <= 200 * 2 ** (level - 1))
+    assert max(r.bytes for r in s.manifest.runs) < 300
