@@ -197,10 +197,21 @@ def seek(entries: list[Entry], key: bytes) -> Entry | None:
     return entries[lo] if lo < len(entries) else None
 
 
+#: Bytes of a batch that become Python objects at a time; a row larger than that is taken alone or with few others.
+AT_ONCE = 1 << 20
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about AT_ONCE bytes: Spark's batches have 10,000 rows, however large."""
+    rows = max(1, batch.num_rows * AT_ONCE // max(batch.nbytes, 1))
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def blocks(runs: DataFrame, block_bytes: int = 4096, prefixed: bool = False) -> DataFrame:
     """(run_id, block_id, n_entries, first_key, last_key, crc, block): entries of a run in order, as many to a block as fit.
 
-    An entry larger than a block has one of its own. A run is read as a stream; one block is held.
+    An entry larger than a block has one of its own. A run is read as a stream; some AT_ONCE bytes and one block are held.
     """
     schema = "run_id long, block_id int, n_entries int, first_key binary, last_key binary, crc long, block binary"
 
@@ -216,7 +227,7 @@ def blocks(runs: DataFrame, block_bytes: int = 4096, prefixed: bool = False) ->
             columns = list(zip(*rows, strict=True)) if rows else [()] * 7
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in schema.split(", ")])
 
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             rows = []
             for at, key, value in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 more = len(entry(key, value))
@@ -238,7 +249,7 @@ def entries(blocks: DataFrame, prefixed: bool = False) -> DataFrame:
     schema = "run_id long, block_id int, key binary, value binary, tombstone boolean"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             out = []
             for run, number, crc, block in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 if zlib.crc32(block) != crc:

@@ -1,6 +1,7 @@
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -150,3 +151,11 @@ def test_prefixes_and_damage():
             codec.decode_prefixed(bad)
     with pytest.raises(codec.BlockError):
         codec.encode_prefixed([])
+
+
+def test_batches_are_taken_in_parts():
+    small = pa.record_batch({"run_id": pa.array(range(10_000)), "block": pa.array([b"x" * 4096] * 10_000)})
+    parts = list(codec.slices(small))
+    assert max(p.nbytes for p in parts) <= codec.AT_ONCE < small.nbytes and pa.Table.from_batches(parts).equals(pa.Table.from_batches([small]))
+    large = pa.record_batch({"block": pa.array([b"x" * 3_000_000, b"y"])})
+    assert [p.num_rows for p in codec.slices(large)] == [1, 1] and list(codec.slices(large.slice(0, 0))) == []
