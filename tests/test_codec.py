@@ -159,3 +159,17 @@ def test_batches_are_taken_in_parts():
     assert max(p.nbytes for p in parts) <= codec.AT_ONCE < small.nbytes and pa.Table.from_batches(parts).equals(pa.Table.from_batches([small]))
     large = pa.record_batch({"block": pa.array([b"x" * 3_000_000, b"y"])})
     assert [p.num_rows for p in codec.slices(large)] == [1, 1] and list(codec.slices(large.slice(0, 0))) == []
+
+
+def test_large_values_in_parts(spark):
+    """Some dozen parts a batch: blocks go on from one part to the next."""
+    r = random.Random(5)
+    rows = [(n % 2, n, b"k%04d" % n, r.randbytes(r.choice([10, 900, 60_000]))) for n in range(400)]
+    held = pa.record_batch({"value": [v for *_, v in rows]})
+    assert len(list(codec.slices(held))) > 5
+    for prefixed in (False, True):
+        blocks = codec.blocks(frame(spark, rows), prefixed=prefixed)
+        back = sorted((e.run_id, bytes(e.key), bytes(e.value)) for e in codec.entries(blocks, prefixed).collect())
+        assert back == sorted((r, k, v) for r, _, k, v in rows)
+    most = {n: max(codec.size(b.n_entries, len(b.block) - 2 - 2 * b.n_entries) for b in codec.blocks(frame(spark, rows)).collect() if (b.n_entries > 1) == n) for n in (False, True)}
+    assert most[True] <= 4096 < most[False]
