@@ -23,7 +23,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.llm.tables import crc, crc_sql, table, written
@@ -355,17 +355,38 @@ def baum_welch(rows: DataFrame, v: Vocabulary, states: int = STATES, rounds: int
     return m, logs
 
 
-def score_all(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, stated: int | None = None) -> DataFrame:
-    """docs: (doc_id, text, held_out); learns from rows not held out and scores all. Other columns play no part."""
+def prepared(docs: DataFrame, stated: int | None = None, kinds: bool = True) -> tuple[Vocabulary, DataFrame, DataFrame]:
+    """Of (doc_id, text, held_out): what is learned of words, all rows as a written table, and by row what the rare words add.
+
+    kinds: whether the rows have what the states are learned from.
+    """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "held_out")
     learn = docs.where("NOT held_out")
     counts = written(count_words(learn.select("text")))
     v = vocabulary(counts, learn.count(), stated)
-    rows = written(numbered(docs, v).withColumn("row", F.monotonically_increasing_id()))
-    m, _ = baum_welch(rows.where("NOT held_out"), v, states, rounds)
-
+    texts = numbered(docs, v) if kinds else numbered(docs, v).drop("kinds", "log_inside")
+    rows = written(texts.withColumn("row", F.monotonically_increasing_id()))
     rare = rows.select("row", F.explode("rare").alias("word")).join(counts, "word", "left").groupBy("row")
-    rare = rare.agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"))
+    return v, rows, rare.agg(F.count("n").alias("rare_known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rare_logs"))
+
+
+def base_columns(v: Vocabulary) -> list[Column | str]:
+    """All columns but the model's score, of rows joined with what rare words add."""
+    known = F.col("n_known") + F.coalesce("rare_known", F.lit(0))
+    base = F.col("log_counts") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(v.log_base())
+    return ["doc_id", "held_out", "n_tokens", known.alias("n_known"), F.lit(v.total).cast("long").alias("train_tokens"), base.alias("base_score")]
+
+
+def base_all(docs: DataFrame) -> DataFrame:
+    """`score_all` without the model: counts only, nothing is fitted."""
+    v, rows, rare = prepared(docs, kinds=False)
+    return rows.drop("rare").join(rare, "row", "left").select(*base_columns(v))
+
+
+def score_all(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, stated: int | None = None) -> DataFrame:
+    """docs: (doc_id, text, held_out); learns from rows not held out and scores all. Other columns play no part."""
+    v, rows, rare = prepared(docs, stated)
+    m, _ = baum_welch(rows.where("NOT held_out"), v, states, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,27 +395,22 @@ def score_all(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, state
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], ["row", "log_kinds"])
 
     likely = rows.select("row", "kinds").mapInArrow(run, "row long, log_kinds double")
-    base = F.col("log_counts") + F.coalesce("rare_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(v.log_base())
     all_rows = rows.select("row", "doc_id", "held_out", "n_tokens", "n_known", "log_counts", "log_inside").join(likely, "row").join(rare, "row", "left")
-    return all_rows.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
-        F.lit(v.total).cast("long").alias("train_tokens"),
-        base.alias("base_score"),
-        (F.col("log_kinds") + F.col("log_inside") + F.coalesce("rare_logs", F.lit(0.0))).alias("score"),
-    )
+    return all_rows.select(*base_columns(v), (F.col("log_kinds") + F.col("log_inside") + F.coalesce("rare_logs", F.lit(0.0))).alias("score"))
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text", (crc("doc_id", 5) == 1).alias("held_out"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: log10 probabilities of every whole text of documents, learned from rows whose crc32 is not 1 modulo 5."""
-    return score_all(table(spark, sf_dir, "documents").select("doc_id", "text", (crc("doc_id", 5) == 1).alias("held_out")))
+    return score_all(_split(spark, sf_dir))
 
 
 def base_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What of op8 SQL can say: all columns but the model's score, base_score to four places."""
-    return query(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 4))
+    return base_all(_split(spark, sf_dir)).withColumn("base_score", F.round("base_score", 4))
 
 
 BASE_ORACLE = rf"""

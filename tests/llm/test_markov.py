@@ -131,3 +131,17 @@ def test_scores_end_to_end(spark):
                 own = c - 4
                 total += math.log10((known.get(w, 0) + 0.5) / (v.class_total[own] + 0.5 * (v.class_distinct[own] + 1)))
         assert got[r.doc_id] == pytest.approx(total)
+
+
+def test_base_scores_fit_no_model(spark, monkeypatch):
+    """The columns that SQL can say need counts only."""
+    rows = [(k, t, k % 3 == 0) for k, t in enumerate(["a b a", "b c", None, "", "A zz", "c c c d", "d e"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")
+    want = sorted(markov.score_all(docs).drop("score").collect())
+
+    def refuse(*_):
+        raise AssertionError("a model was fitted")
+
+    monkeypatch.setattr(markov, "baum_welch", refuse)
+    assert sorted(markov.base_all(docs).collect()) == want and len(want) == len(rows)
+    assert markov.base_query(spark, SF).where("base_score < 0").count() == spark.read.parquet(f"{SF}/documents.parquet").count()
