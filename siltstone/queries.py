@@ -14,6 +14,7 @@ from siltstone.operators.snapshot import as_of, latest, live
 from siltstone.plans import compaction
 from siltstone.plans.store import Store
 from siltstone.sources.manifest import Run
+from siltstone.sources.scratch import scratch
 
 BATCH = 2_500
 
@@ -190,15 +191,7 @@ def block_large_values(spark, d):
 
 def _scratch_store(spark: SparkSession, **options) -> Store:
     """A store of its own for one query, below the shared folder if the cluster names one."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="siltstone-")
-    return Store(spark, f"{base}/store-{uuid.uuid4().hex}", Options(**options))
+    return Store(spark, scratch(spark, "store"), Options(**options))
 
 
 def _filled(spark: SparkSession, d: str, batches: int, **options) -> Store:

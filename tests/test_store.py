@@ -336,3 +336,23 @@ def test_a_level_goes_down_at_once(spark, tmp_path):
         own = [r for r in s.manifest.runs if r.level == level]
         assert compaction.disjoint(own) and (level == 4 or sum(r.bytes for r in own) <= 200 * 2 ** (level - 1))
     assert max(r.bytes for r in s.manifest.runs) < 300
+
+
+@pytest.mark.parametrize("most", [1, 30, 200, 100_000])
+def test_freeze_by_bytes_in_stretches(spark, most):
+    """Runs go on from one stretch to the next, and over several; one task never has the whole log."""
+    r = random.Random(most)
+    rows = [(s, b"k%d" % r.randrange(40), None if r.random() < 0.2 else b"v" * r.randrange(1, 9)) for s in range(1, 300)]
+    want, number, held = {}, 0, {}
+    for s, k, v in rows:
+        want[s] = (number, k, v)
+        held[k] = len(k) + len(v or b"")
+        if sum(held.values()) >= most:
+            number, held = number + 1, {}
+    got = frozen_by_bytes(frame(spark, rows).repartition(5), most, stretch=25)
+    assert got.columns == ["key", "value", "seq", "tombstone", "run_id"]
+    seen = got.collect()
+    assert len(seen) == len(rows) and {x.seq: (x.run_id, bytes(x.key), x.value and bytes(x.value)) for x in seen} == want
+    assert all(x.tombstone == (x.value is None) for x in seen)
+    folders = {f.rsplit("/", 2)[1] for f in got.inputFiles()}
+    assert len(folders) == 12
